@@ -7,15 +7,34 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .langid import identify_languages, page_evidence, train_profiles
+from .licenses import scan_licenses
 from .line_dedup import dedup_lines
+from .media import media_features
 from .mixing import mix_plan
 from .ngram_join import ngram_jaccard_join
+from .pii import replace_personal_data
+from .sentencepiece_codec import encode_documents
+from .warc import archive_pages
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (declared language: lang; host: source) and pages (html element, address) under one set of priors."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = train_profiles(docs)
+    rows = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    pages = page_evidence(table(spark, sf_dir, "pages")).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "text", "declared", "host")
+    return identify_languages(rows.unionAll(pages), profiles, carry=["doc_id", "page_id"])
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), "size", "source_size", "target", "taken")
 
@@ -24,11 +43,39 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_lines")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_mix_sources, op5_line_dedup, op8_exact_dedup)}
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "entity_kinds", "entities")
+
+
+_ALL = (
+    op1_ngram_jaccard_join,
+    op2_license_scan,
+    op3_language_id,
+    op4_mix_sources,
+    op5_line_dedup,
+    op6_warc,
+    op7_media_columns,
+    op8_exact_dedup,
+    op9_sentencepiece,
+    op10_pii_surrogates,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: Lines are found by their text, not by hashes, and windows by lists of them.
 LINE_DEDUP_SQL = r"""
@@ -109,4 +156,17 @@ words AS (
 SELECT doc_id, source, size, ss AS source_size, target, (passes * size + picked)::BIGINT AS taken FROM words
 """
 
-ORACLE_SQL = {"op4_mix_sources": MIX_SQL, "op5_line_dedup": LINE_DEDUP_SQL, "op8_exact_dedup": EXACT_DEDUP_SQL}
+#: unbin turns the digest's hexadecimal digits to base32 five bits at a time.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT *, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+bits AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: lpad(to_base(('0x' || substr(hex, i, 1))::BIGINT, 2), 4, '0')), 'string_agg', '') AS b FROM d)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (
+    16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM bits
+"""
+
+ORACLE_SQL = {"op6_warc": WARC_SQL, "op4_mix_sources": MIX_SQL, "op5_line_dedup": LINE_DEDUP_SQL, "op8_exact_dedup": EXACT_DEDUP_SQL}
