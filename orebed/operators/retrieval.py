@@ -27,7 +27,7 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: Sequence[str], k1: floa
     that also gives lengths, and the statistics are sums over all documents.
     """
     t = docs.select(F.col(id_col), tokenise(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
-    counted = t.select(id_col, "len", *[F.size(F.filter("_t", lambda x, q=q: x == q)).alias(f"tf{i}") for i, q in enumerate(query)])
+    counted = t.select(id_col, "len", *[(F.size("_t") - F.size(F.array_remove("_t", q))).alias(f"tf{i}") for i, q in enumerate(query)])
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
     scored = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(query)))).crossJoin(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)

@@ -58,5 +58,6 @@ def with_rank(df: DataFrame, by: Sequence[str], score: str, tie: str, name: str
 def sessions(df: DataFrame, by: str, time: str, gap_seconds: int) -> DataFrame:
     """Number of the session of each row: a new one starts after a gap."""
     w = Window.partitionBy(by).orderBy(time, "event_id") if "event_id" in df.columns else Window.partitionBy(by).orderBy(time)
-    gap = F.unix_micros(F.col(time)) - F.unix_micros(F.lag(time).over(w))
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    gap = at - F.lag(at).over(w)
     return df.withColumn("_new", (gap.isNull() | (gap > gap_seconds * 1_000_000)).cast("int")).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")

@@ -1,15 +1,6 @@
-"""The registered queries outside the corpus operators."""
+"""All registered queries outside the corpus operators."""
 
-from __future__ import annotations
+from . import events, tables, texts  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def table_agg_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lineitem.groupBy("l_returnflag").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("value"))
-
-
-QUERIES = {"table_agg_sum": table_agg_sum}
-ORACLE_SQL = {"table_agg_sum": "SELECT l_returnflag, sum(l_extendedprice::DECIMAL(18,2)) AS value FROM lineitem GROUP BY 1"}
+__all__ = ["ORACLE_SQL", "QUERIES"]
