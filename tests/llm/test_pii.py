@@ -1,0 +1,81 @@
+import re
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from orebed.llm import pii
+from orebed.llm.pii import PATTERNS, replace_personal_data, surrogates
+
+DOCS = "doc_id long, text string, n_entities string, kind string"
+A = "Write to jo.smith7@mail.example.com or call +1 (310) 555-4510. Card 4111 1111 1111 1111, host 10.20.30.40, token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\""
+B = "### 4785380592391139$$$ and 152.143.123.131### Mr. John Smith met Frau Anna Müller; Mr. Smith left. Господин Иван Петров; 123-45-6789"
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOCS)
+
+
+def test_every_kind_is_replaced_in_form(spark):
+    got = {r.doc_id: r for r in replace_personal_data(frame(spark, [A, B, None, "", "Clean words, 12 of them. Version 1.2.3.4.5", A + A])).collect()}
+    a, b = got[0], got[1]
+    assert a.entity_kinds == ["card", "email", "ip", "phone", "secret"] and a.n_entities == 5
+    assert set(b.entity_kinds) == {"card", "ip", "person", "ssn"} and b.n_entities == 7
+    for old in ("jo.smith7", "555-4510", "4111 1111", "10.20.30.40", "24be6443"):
+        assert old not in a.text
+    for old in ("4785380592391139", "152.143", "John", "Smith", "Anna", "Müller", "Иван", "Петров", "123-45"):
+        assert old not in b.text
+    for r in (a, b, got[5]):
+        for e in r.entities:
+            assert r.text[e.start : e.start + len(e.surrogate)] == e.surrogate
+            assert re.fullmatch(PATTERNS[e.kind].replace(r"\p{Lu}", "[A-ZА-ЯЁ]").replace(r"\p{L}", "[A-Za-zА-Яа-яЁё]"), e.surrogate), e
+    assert re.fullmatch(r"Write to [a-z]{2}\.[a-z]{5}[0-9]@\S+ or call \+1 \(\d{3}\) \d{3}-\d{4}\. Card 4\d{3} \d{4} \d{4} \d{4}, host [\d.]+, token = \"[0-9a-f]{40}\"", a.text)
+    assert got[2].text is None and got[3].text == "" and got[4].text.startswith("Clean words") and got[4].n_entities == 0
+    assert got[5].text == a.text + a.text
+
+
+def test_names_keep_gender_script_and_coreference(spark):
+    r = replace_personal_data(frame(spark, [B])).head()
+    names = [e.surrogate for e in r.entities if e.kind == "person"]
+    assert names[0].split()[-1] == names[2].split()[-1]
+    assert names[0].split()[1] in pii.GIVEN["latin", "m"] and names[1].split()[1] in pii.GIVEN["latin", "f"] and names[3].split()[1] in pii.GIVEN["cyrillic", "m"]
+
+
+def luhn(digits):
+    return sum((d * 2 - 9 if d > 4 else d * 2) if i % 2 == 0 else d for i, d in enumerate(map(int, digits))) % 10 == 0
+
+
+def test_card_numbers_stay_valid(spark):
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881"]
+    r = replace_personal_data(frame(spark, [" ".join(f"<{c}>" for c in cards)])).head()
+    assert [luhn(e.surrogate) for e in r.entities] == [luhn(c) for c in cards] == [True] * 3
+
+
+def test_clashes_are_drawn_again(spark):
+    """A narrow range of values: all ten thousand of them appear, so first draws clash with others and with real values."""
+    values = spark.range(600).select(F.lit("ssn").alias("kind"), F.format_string("123-45-%04d", "id").alias("value"))
+    narrow = pii._same_form
+
+    def few(value, draws, letters, start=0):
+        return F.concat(F.lit("00-00-"), F.lpad((pii._number(draws, 0) % 3000).cast("string"), 4, "0"))
+
+    pii._same_form = few
+    try:
+        got = surrogates(values, "key", most_rounds=60).collect()
+    finally:
+        pii._same_form = narrow
+    assert len(got) == 600 and len({r.surrogate for r in got}) == 600
+    assert not {r.surrogate for r in got} & {r.value for r in got} and max(r.attempt for r in got) > 0
+
+
+def test_same_value_same_surrogate_everywhere(spark):
+    texts = [f"at 10.0.{i % 7}.1 and x{i}" for i in range(60)]
+    seen = defaultdict(set)
+    for r in replace_personal_data(frame(spark, texts)).collect():
+        seen[r.doc_id % 7].add(r.entities[0].surrogate)
+    assert all(len(v) == 1 for v in seen.values()) and len(set.union(*seen.values())) == 7
+    other = {r.entities[0].surrogate for r in replace_personal_data(frame(spark, texts), key="another").collect()}
+    assert not other & set.union(*seen.values())
+
+
+def test_empty_table(spark):
+    assert replace_personal_data(frame(spark, [])).count() == 0
