@@ -72,7 +72,7 @@ def heading_level(line: Column) -> Column:
 
 def norm_references(text: Column) -> Column:
     """Distinct references to standards, in the order of the text, upper case with joined blanks."""
-    found = F.regexp_extract_all(text, F.lit(r"(?iu)\b((?:СП|СНиП|ГОСТ(?: Р)?|ISO|EN|DIN)\s*[0-9]+(?:[.\-][0-9]+)*)"), 1)
+    found = F.regexp_extract_all(text, F.lit(r"(?iu)\b((?:СП|СНиП|ГОСТ(?:\s+Р)?|ISO|EN|DIN)\s*[0-9]+(?:[.\-][0-9]+)*)"), 1)
     return F.array_distinct(F.transform(found, lambda t: F.upper(F.regexp_replace(t, BLANKS, " "))))
 
 

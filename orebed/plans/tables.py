@@ -164,7 +164,7 @@ def norm_navigation(spark, sf):
     return table(spark, sf, "part").groupBy(F.substring("p_brand", 1, 7).alias("family"), F.col("p_type").alias("collection")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_key"), d(F.sum(price("p_retailprice"))).alias("total"))
 
 
-KAC = """WITH q AS (SELECT lower(trim(p_name)) AS material, s_name AS supplier, round(l_extendedprice::DECIMAL(18,2) / 1.2, 2)::DOUBLE AS price FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1),
+KAC = """WITH q AS (SELECT lower(trim(p_name)) AS material, s_name AS supplier, ((l_extendedprice::DECIMAL(18,2) * 100)::BIGINT * 10 + 6) // 12 / 100.0::DOUBLE AS price FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1),
 s AS (SELECT material, count(*) AS n_offers, min(price) AS price_min, max(price) AS price_max, quantile_cont(price, 0.5) AS price_median FROM q GROUP BY 1),
 r AS (SELECT q.*, s.price_median, row_number() OVER (PARTITION BY q.material ORDER BY {near}, q.price, q.supplier) AS rn FROM q JOIN s USING (material))
 SELECT s.material, n_offers, price_min, price_max, s.price_median, r.supplier AS chosen_supplier, r.price AS chosen_price, round((price_max - price_min) / price_min * 100, 1) AS spread_pct, n_offers >= 3 AS sufficient FROM s JOIN r ON r.material = s.material AND rn = 1"""
