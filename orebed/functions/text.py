@@ -87,9 +87,9 @@ def without_markup(text: Column) -> Column:
 
 def repaired(text: Column) -> Column:
     """UTF-8 that was read as Latin-1, read again, where that gives Cyrillic and no replacement characters."""
-    again = F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
-    noise = r"[ÐÑ][\x80-\xbf]"
-    return F.when(text.rlike(noise) & ~again.contains("�") & again.rlike("[А-Яа-яЁё]"), again).otherwise(text)
+    narrow = text.rlike("^[\\x00-\\xff]*$") & text.rlike("[ÐÑ][\\x80-\\xbf]")
+    again = F.when(narrow, F.try_validate_utf8(F.encode(text, "ISO-8859-1").cast("string")))
+    return F.when(again.rlike("[А-Яа-яЁё]"), again).otherwise(text)
 
 
 def fingerprint(text: Column, limit: int = 500) -> Column:

@@ -74,18 +74,36 @@ def plan_fact(plan: DataFrame, fact: DataFrame, key: str, planned: str, done: st
     return j.select(key, "planned", "done", status.alias("status"), delta.alias("delta"), F.greatest(-delta, F.lit(0)).alias("remaining"), F.round(F.col("done") * 100 / F.nullif(F.col("planned"), F.lit(0)), 1).alias("done_pct"))
 
 
+def containment_pairs(left: DataFrame, right: DataFrame, block: str, shortest: int = 4) -> DataFrame:
+    """(block, left, right) of the distinct names of two frames (block, name) that are equal, or one of which contains the other.
+
+    A name of at least `shortest` characters that another one contains begins
+    somewhere in it with its first `shortest` characters: these join the
+    other's character grams, an equi-join that lays out no pairs without a
+    common gram.
+    """
+    l, r = left.select(block, F.col(left.columns[1]).alias("left")).distinct(), right.select(block, F.col(right.columns[1]).alias("right")).distinct()
+
+    def inside(short: DataFrame, s: str, long: DataFrame, n: str) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(n) - shortest + 1, F.lit(1)))
+        grams = long.withColumn("_g", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(n), i, F.lit(shortest))))))
+        heads = short.where(F.length(s) >= shortest).withColumn("_g", F.substring(s, 1, shortest))
+        return heads.join(grams, [block, "_g"]).where(F.col(n).contains(F.col(s))).select(block, "left", "right")
+
+    equal = l.join(r.withColumn("_n", F.col("right")), (l[block] == r[block]) & (F.col("left") == F.col("_n"))).select(l[block], "left", "right")
+    return equal.unionByName(inside(l, "left", r, "right")).unionByName(inside(r, "right", l, "left")).distinct()
+
+
 def fuzzy_first(plan: DataFrame, fact: DataFrame, block: str, name: str, plan_order: str, fact_id: str, shortest: int = 4) -> DataFrame:
     """Each fact with the first plan line of its block whose name is equal, or contains or is contained in its own; null without one.
 
-    Names are compared once for each pair of distinct names in a block, so
-    repeated lines cost nothing; facts are independent of each other.
+    Distinct names are compared once, so repeated lines cost nothing; facts
+    are independent of each other.
     """
-    pn = plan.groupBy(block, F.col(name).alias("_pn")).agg(F.min(plan_order).alias("_first"))
-    fn = fact.select(block, F.col(name).alias("_fn")).distinct()
-    short = F.least(F.length("_pn"), F.length("_fn")) >= shortest
-    near = (F.col("_pn") == F.col("_fn")) | (short & (F.col("_pn").contains(F.col("_fn")) | F.col("_fn").contains(F.col("_pn"))))
-    hit = fn.join(pn, block).where(near).groupBy(block, "_fn").agg(F.min("_first").alias("plan_line"))
-    return fact.select(block, F.col(name).alias("_fn"), fact_id).join(hit, [block, "_fn"], "left").select(fact_id, block, F.col("_fn").alias(name), "plan_line")
+    pn = plan.groupBy(block, F.col(name).alias("left")).agg(F.min(plan_order).alias("_first"))
+    pairs = containment_pairs(plan.select(block, name), fact.select(block, name), block, shortest)
+    hit = pairs.join(pn, [block, "left"]).groupBy(block, "right").agg(F.min("_first").alias("plan_line"))
+    return fact.select(block, F.col(name).alias("right"), fact_id).join(hit, [block, "right"], "left").select(fact_id, block, F.col("right").alias(name), "plan_line")
 
 
 def two_way_missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
