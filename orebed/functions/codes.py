@@ -42,3 +42,8 @@ def sheet_format(width: Column, height: Column, tolerance: float = 3.0) -> Colum
     for name, (s, l) in base.items():
         out = F.when((F.abs(a - s) <= tolerance) & (F.abs(b - l) <= tolerance), F.lit(name)).otherwise(out)
     return out
+
+
+def collection_key(code: Column) -> Column:
+    """Family and two-digit collection of a norm's code, such as ГЭСНм:38."""
+    return F.concat(F.regexp_extract(code, r"^\s*(\p{L}+)", 1), F.lit(":"), F.regexp_extract(code, r"([0-9]{2})-", 1))

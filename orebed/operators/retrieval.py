@@ -124,3 +124,28 @@ def token_overlap(a: Column, b: Column) -> Column:
     """Share of a's distinct tokens that b has too."""
     a = F.array_distinct(a)
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
+
+
+def sidecar(index: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """An append-only index: rows whose key it has already are left out."""
+    return index.unionByName(new.dropDuplicates([key]).join(index.select(key), key, "left_anti"))
+
+
+def reranked(ranked: DataFrame, by: str, rank: str, head: int, score: Column) -> DataFrame:
+    """The first `head` rows of each query in the order of a new score, the tail as it was."""
+    s = F.when(F.col(rank) <= head, score)
+    w = Window.partitionBy(by).orderBy(F.desc_nulls_last("_s"), rank)
+    return ranked.withColumn("_s", s).withColumn("rerank_rank", F.row_number().over(w)).drop("_s")
+
+
+def query_window(text: Column, terms: Sequence[str], width: int = 1600) -> Column:
+    """The part of a text around the first term of a query that it has, at most width characters."""
+    places = F.array(*[F.locate(t.lower(), F.lower(text)) for t in terms])
+    first = F.coalesce(F.array_min(F.filter(places, lambda p: p > 0)), F.lit(1))
+    return F.substr(text, F.greatest(F.lit(1), first - width // 2), F.lit(width))
+
+
+def valid_json(text: Column, schema: str) -> Column:
+    """The JSON object in a text, under a schema; null where there is none or a field does not fit."""
+    span = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.from_json(span, schema, {"mode": "PERMISSIVE"})

@@ -288,3 +288,71 @@ def keyword_sets(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_sort(F.array_distinct(words)).alias("long_words"))
 
 
+
+
+@query("""SELECT p_partkey, split_part(p_brand, '#', 1) || ':' || lpad(p_size::VARCHAR, 2, '0') AS key FROM part""")
+def collection_keys(spark, sf):
+    """PRJ32: family and collection of a code."""
+    code = F.concat(F.split_part("p_brand", F.lit("#"), F.lit(1)), F.lit(" "), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("-01-001"))
+    return table(spark, sf, "part").select("p_partkey", codes.collection_key(code).alias("key"))
+
+
+@query("""SELECT d.doc_id, d.source, l.quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE d.source IN ('src1', 'src2') AND l.quality = 1""")
+def filtered_hits(spark, sf):
+    """JOI01: an index joined to its contents behind filters."""
+    hits = table(spark, sf, "labels").where("quality = 1").select("doc_id", "quality")
+    return table(spark, sf, "documents").where(F.col("source").isin("src1", "src2")).select("doc_id", "source").join(hits, "doc_id")
+
+
+@query("""SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN r <= 5 THEN -n_chars END NULLS LAST, r) AS rerank_rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)""")
+def reranked_heads(spark, sf):
+    """TXT13: the head of each ranking in a new order, the tail as it was."""
+    from pyspark.sql import Window
+
+    from ..operators.retrieval import reranked
+
+    r = table(spark, sf, "documents").select("source", "doc_id", "n_chars", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("r"))
+    return reranked(r, "source", "r", 5, F.col("n_chars")).select("doc_id", "rerank_rank")
+
+
+@query("""SELECT event_id, try_cast(props->>'k' AS BIGINT) AS k FROM events""")
+def structured_extraction(spark, sf):
+    """TXT25: a JSON object salvaged from a text, under a schema."""
+    from ..operators.retrieval import valid_json
+
+    said = F.concat(F.lit("Here it is: "), "props", F.lit(" - done"))
+    return table(spark, sf, "events").select("event_id", valid_json(said, "k bigint")["k"].alias("k"))
+
+
+@query("""SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)) GROUP BY 1""")
+def sidecar_index(spark, sf):
+    """TXT30, SET08: an append-only index takes only what it lacks."""
+    from ..operators.retrieval import sidecar
+
+    docs = table(spark, sf, "documents").select("doc_id")
+    return sidecar(docs.where("doc_id % 3 <> 0"), docs, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS extra FROM orders""")
+def merged_versions(spark, sf):
+    """CTL01, CTL02: new rows over old ones, with a column more."""
+    from ..sources.stores import merged
+
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("s"), "o_totalprice")
+    new = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "X").alias("s"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("extra"))
+    return merged(o.drop("o_totalprice"), new, ["o_orderkey"])
+
+
+@query("""WITH c AS (SELECT 'p_brand' AS k, p_brand AS v FROM part UNION ALL SELECT 'p_size', p_size::VARCHAR FROM part UNION ALL SELECT 'p_type', p_type FROM part) SELECT k AS "column", count(v) AS n, count(DISTINCT v) AS n_distinct,
+CASE WHEN k = 'p_size' THEN min(try_cast(v AS DOUBLE)) END AS lo, CASE WHEN k = 'p_size' THEN max(try_cast(v AS DOUBLE)) END AS hi, CASE WHEN k = 'p_size' THEN sum(try_cast(v AS DOUBLE)) END AS total FROM c GROUP BY 1""")
+def column_profiles(spark, sf):
+    """SRC12: what the columns of a sheet hold."""
+    from ..sources.sheets import column_profile
+
+    return column_profile(table(spark, sf, "part").select("p_brand", "p_size", "p_type")).drop("examples")
+
+
+@query("""SELECT DISTINCT source AS ref, min(doc_id) OVER (PARTITION BY source) AS first FROM documents""")
+def table_refs(spark, sf):
+    """SRC04: references of all sources, with their first row."""
+    return table(spark, sf, "documents").groupBy(F.col("source").alias("ref")).agg(F.min("doc_id").alias("first"))
