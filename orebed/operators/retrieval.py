@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,13 +29,13 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: Sequence[str], k1: floa
     """
     t = docs.select(F.col(id_col), tokenise(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
     counted = t.select(id_col, "len", *[(F.size("_t") - F.size(F.array_remove("_t", q))).alias(f"tf{i}") for i, q in enumerate(query)])
-    stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
-    scored = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(query)))).crossJoin(F.broadcast(stats))  # one row of statistics
+    stats = counted.agg(F.count(F.lit(1)), F.avg("len"), *[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(query))]).head()  # one row
+    n, mean = stats[0], float(stats[1] or 1)
+    scored = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(query))))
     score = F.lit(0.0)
     for i in range(len(query)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("_avg")))
+        tf, df = F.col(f"tf{i}"), stats[2 + i]
+        score = score + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / mean))
     return scored.select(id_col, score.alias("score"))
 
 
@@ -76,10 +77,10 @@ def round_robin(rankings: Sequence[DataFrame], id_col: str) -> DataFrame:
 
 def concentrate(hits: DataFrame, family: str, score: str, floor: float = 0.45, ratio: float = 0.8, families: int = 3) -> DataFrame:
     """Hits above the floor (or near the best one) of the families with the best hits."""
-    w = Window.partitionBy()
-    best = hits.withColumn("_best", F.max(score).over(w)).where((F.col(score) >= floor) | (F.col(score) >= ratio * F.col("_best")))
+    greatest = hits.agg(F.max(score)).head()[0] or 0.0
+    best = hits.where((F.col(score) >= floor) | (F.col(score) >= ratio * greatest))
     top = best.groupBy(family).agg(F.max(score).alias("family_score")).orderBy(F.desc("family_score"), family).limit(families)
-    return best.drop("_best").join(F.broadcast(top), family)
+    return best.join(F.broadcast(top), family)  # at most `families` rows
 
 
 def clear_winner(hits: DataFrame, by: str, score: str, tie: str, gap: float) -> DataFrame:

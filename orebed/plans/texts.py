@@ -92,8 +92,7 @@ def idf_weights(spark, sf):
     """TXT05: document frequencies and weights of all terms."""
     docs = docs_of(spark, sf)
     df = retrieval.document_frequencies(retrieval.postings(docs, "doc_id", "text", T.simple_tokens), "doc_id")
-    n = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
-    return df.crossJoin(F.broadcast(n)).select("term", "df", "cf", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+    return df.select("term", "df", "cf", F.round(F.log(1 + (F.lit(docs.count()) - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
 BM25 = f"""t AS (SELECT doc_id, {TOK.format("text")} AS l FROM documents), s AS (SELECT count(*) AS n, avg(len(l)) AS a FROM t),
