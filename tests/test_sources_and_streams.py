@@ -1,5 +1,7 @@
+import datetime
 import io
 import json
+import shutil
 import zipfile
 
 import pytest
@@ -83,8 +85,6 @@ def run(spark, df, name, mode):
 def landed(spark, tmp_path, batches, schema):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{i}")
-    import shutil
-
     (tmp_path / "in").mkdir()
     for i in range(len(batches)):
         for f in sorted((tmp_path / f"in{i}").glob("*.parquet")):
@@ -94,7 +94,7 @@ def landed(spark, tmp_path, batches, schema):
 
 def test_windows_leave_late_rows_out(spark, tmp_path):
     schema = "ts timestamp, k string, v double"
-    at = lambda m: __import__("datetime").datetime(2024, 1, 1, m // 60, m % 60)
+    at = lambda m: datetime.datetime(2024, 1, 1, m // 60, m % 60)
     s = landed(spark, tmp_path, [[(at(1), "a", 1.0), (at(3), "a", 2.0)], [(at(130), "a", 5.0)], [(at(131), "a", 1.0)], [(at(2), "a", 99.0), (at(300), "a", 7.0)]], schema)
     got = run(spark, streams.windowed(s, "ts", "k", "v", "10 minutes", "30 minutes"), "late", "append").collect()
     assert {(r.start.hour * 60 + r.start.minute, r.n, r.total) for r in got} == {(0, 2, 3.0), (130, 2, 6.0)}
