@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_of, without
+from .common import ship, slices, stored, text_of, without
 
 BUCKETS = 1 << 15
 
@@ -68,7 +68,7 @@ def train_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((len(names), BUCKETS), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[names.index(lang)] += np.bincount(trigrams(text), minlength=BUCKETS)
         k, b = np.nonzero(seen)
@@ -133,7 +133,7 @@ def identify_languages(
     keys = rows.select(*[F.col(f"`{c}`").alias(f"_of_{c}") for c in carry], F.nullif(declared, F.lit("")).alias("_declared"), (F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")).alias("_host"), text_of(text_col).alias("_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.value.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             ll = pa.array([s.tolist() for s, _ in found], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ll, pa.array([n for _, n in found], pa.int64())], [*batch.schema.names[:-1], "_ll", "_n"])

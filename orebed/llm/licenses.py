@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import ship, slices, text_of
 from .shingles import WORD, _FACTORS, mixed, word_hashes
 
 #: License notices, as published by their stewards. Fixed values.
@@ -190,7 +190,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TemplateIndex(templates, k, window)
         kinds = [pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-        for batch in batches:
+        for batch in slices(batches):
             rows_of, found = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 for hit in find_licenses(text, index, min_coverage, band):

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_of
+from .common import ship, slices, stored, text_of
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH, CHANNELS = 64, 3
@@ -165,11 +165,9 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                made = [payload_of(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([write_png(p) for _, p in made], pa.binary())], ["id", "n_bytes", "media"])
+        for batch in slices(batches):
+            made = [payload_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([write_png(p) for _, p in made], pa.binary())], ["id", "n_bytes", "media"])
 
     return rows.mapInArrow(images, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes bigint, media binary")
 
@@ -184,7 +182,7 @@ def read_media(media: DataFrame) -> DataFrame:
     ship(media.sparkSession)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(6)]
             for png in batch.column(2).to_pylist():
                 if png is None:

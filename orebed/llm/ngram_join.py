@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_of
+from .common import ship, slices, stored, text_of
 from .components import connected_components
 from .shingles import MinHash, bands_for, shingle_hashes, shingle_set
 
@@ -22,7 +22,7 @@ def signatures(texts: DataFrame, n: int, bands: int, rows: int, seed: int) -> Da
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(bands, rows, seed)
-        for batch in batches:
+        for batch in slices(batches):
             signed, size = [], []
             for text in batch.column(2).to_pylist():
                 h = shingle_hashes(text, n)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of, without
+from .common import ship, slices, text_of, without
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -49,7 +49,7 @@ class Codec:
     after another character, words are encoded one by one and remembered.
     """
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 200_000):
         v = self.v = vocabulary
         self.automaton = ahocorasick.Automaton()
         self.single = set()
@@ -143,7 +143,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model: str | Vocab
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             ids = [codec.encode(t) for t in texts]
             same = [codec.decode(i) == t for i, t in zip(ids, texts, strict=True)]
