@@ -100,9 +100,10 @@ def identify_languages(
     temper: float = 0.2,
     host_weight: float = 5.0,
     domain_weight: float = 20.0,
-    min_confidence: float = 0.6,
+    min_confidence: float = 0.5,
     unknown_prior: float = 1e-3,
     carry: Sequence[str] | None = None,
+    most_broadcast: int = 500_000,
 ) -> DataFrame:
     """rows (the columns of `carry`, all by default) plus lang, confidence, rejected and text_lang.
 
@@ -113,7 +114,9 @@ def identify_languages(
     prior. All three tables are counted over all rows by the language that
     the text alone suggests. The host's prior is its own counts smoothed with
     host_weight rows of its domain's prior (the last two labels), which is
-    smoothed with domain_weight rows of the prior of all rows.
+    smoothed with domain_weight rows of the prior of all rows. The table of
+    host priors is counted, and broadcast only where it has at most
+    most_broadcast numbers; a larger one is joined with salted keys.
 
     rejected is true where "und" (a uniform text model with a prior of
     unknown_prior) wins, or the best language has less than min_confidence.
@@ -173,9 +176,14 @@ def identify_languages(
         of_host = (F.col(f"n{i}") + host_weight * of_domain) / (total("n") + host_weight)
         suffix = (F.col(f"s{i}") + 0.5) / (float(seen[i]) + 0.5 * kinds) if i < size - 1 else F.lit(1 / kinds)
         prior.append(F.log(of_host) + F.log(suffix))
-    hosts = hosts.select(F.col("_host").alias("_h"), F.array(*prior).alias("_prior"))
-
-    fused = scored.join(hosts, F.col("_host") == F.col("_h"), "left")
+    hosts = stored(hosts.select(F.col("_host").alias("_h"), F.array(*prior).alias("_prior")), "host-priors")
+    if hosts.count() * size <= most_broadcast:
+        fused = scored.join(F.broadcast(hosts), F.col("_host") == F.col("_h"), "left")
+    else:
+        # One host may hold a third of all rows: rows go to one of 32 copies of their host's prior.
+        spread = scored.withColumn("_salt", F.pmod(F.xxhash64("_ll", "_n"), F.lit(32)))
+        copies = hosts.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(31))))
+        fused = spread.join(copies, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")), "left")
     log = F.zip_with(F.transform("_ll", lambda x: x * temper), F.zip_with(F.coalesce("_prior", array(np.log(base))), declared_log, lambda a, b: a + b), lambda a, b: a + b)
     fused = fused.withColumn("_log", log)
     odds = F.transform("_log", lambda x: F.exp(x - F.array_max("_log")))

@@ -139,3 +139,10 @@ def test_encode_documents(spark):
     assert len(got) == 6 and all(r.n_tokens == len(r.token_ids) for r in got)
     assert [r.round_trip for r in got] == [True] * 5 + [False] and got[0].n_tokens == got[1].n_tokens == 0
     assert encode_documents(df.where("false")).count() == 0
+
+
+def test_many_hosts_take_the_salted_join(spark, profiles, labelled):
+    rows = labelled.withColumnsRenamed({"lang": "declared", "source": "host"})
+    few = identify_languages(rows, profiles, carry=["doc_id"]).collect()
+    many = identify_languages(rows, profiles, carry=["doc_id"], most_broadcast=0).collect()
+    assert sorted(map(str, few)) == sorted(map(str, many)) and len(few) == 180
