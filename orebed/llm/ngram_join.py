@@ -211,8 +211,9 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Columns stay as they are. Rows that repeat the kept id and text come out once.
     """
     classes = ngram_jaccard_join(docs, id_col, text_col, **options)
-    best = classes.groupBy(F.coalesce(F.col("class_id").cast("string"), F.col("text_md5")).alias("_class")).agg(F.min_by(F.struct(F.col(id_col).alias("_id"), F.col("text_md5").alias("_node")), F.struct(F.col(id_col).isNull(), id_col, "text_md5")).alias("_best"))
-    best = best.select("_best.*")
-    keyed = docs.withColumn("_key", F.md5(text_of(text_col)))
-    kept = keyed.join(best, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_node")), "left_semi")
-    return kept.dropDuplicates([id_col, "_key"]).select(*docs.columns)
+    group = F.coalesce(F.col("class_id").cast("string"), F.col("text_md5"))
+    first = F.min_by(F.struct(F.col(id_col).alias("__kept_id"), F.col("text_md5").alias("__kept_md5")), F.struct(F.col(id_col).isNull(), id_col, "text_md5"))
+    best = classes.groupBy(group.alias("__class")).agg(first.alias("__best")).select("__best.*")
+    keyed = docs.withColumn("__md5", F.md5(text_of(text_col)))
+    kept = keyed.join(best, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.col("__md5") == F.col("__kept_md5")), "left_semi")
+    return kept.dropDuplicates([id_col, "__md5"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import defaultdict
 
@@ -8,7 +9,7 @@ from orebed.llm import ngram_join as nj
 from orebed.llm.components import connected_components
 from orebed.llm.shingles import MinHash, bands_for, shingle_hashes, shingle_set
 
-DOCS = "doc_id long, text string, extra string, node string, class_id long"
+DOCS = "doc_id long, text string, _id string, node string, class_id long"
 
 
 def frame(spark, rows):
@@ -70,8 +71,6 @@ def same(spark, rows, **options):
         text_of[i].add(t or "")
     got = nj.ngram_jaccard_join(frame(spark, rows), **options).collect()
     assert len(got) == len(rows)
-    import hashlib
-
     by_hash = {hashlib.md5(t.encode()).hexdigest(): v for t, v in want.items()}
     wrong = [(r, by_hash[r.text_md5]) for r in got if (r.class_id, r.n_links, r.n_copies) != by_hash[r.text_md5]]
     assert not wrong, wrong[:3]
