@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -28,7 +29,7 @@ def test_exact_dedup_against_plain_python(spark, keep):
     assert len(got) == len(ODD)
     pick = min if keep == "min" else max
     for r in got:
-        ids = next(v for t, v in groups.items() if __import__("hashlib").sha256(t.encode()).hexdigest() == r.text_sha256)
+        ids = next(v for t, v in groups.items() if hashlib.sha256(t.encode()).hexdigest() == r.text_sha256)
         known = [i for i in ids if i is not None]
         assert r.group_size == len(ids) and r.keep_id == (pick(known) if known else None)
         assert r.kept == (r.doc_id == r.keep_id)

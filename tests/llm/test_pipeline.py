@@ -1,8 +1,8 @@
 import corpus_pipeline as pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orebed.llm.mixing import WORD
 from orebed.llm.sentencepiece_codec import DEFAULT_MODEL, Codec, Vocabulary
 
 from .test_dedup_and_mix import brute_lines
@@ -71,7 +71,7 @@ def test_mix_takes_words_of_what_was_kept(stages):
 def test_tokens_give_every_text_back(stages):
     codec = Codec(Vocabulary.load(DEFAULT_MODEL))
     texts = sorted((r.doc_id, r.text) for r in stages[4])
-    got = sorted((r.doc_id, codec.decode(__import__("numpy").array(r.token_ids, dtype="int32"))) for r in stages[5])
+    got = sorted((r.doc_id, codec.decode(np.array(r.token_ids, dtype="int32"))) for r in stages[5])
     assert got == texts and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in stages[5])
 
 
@@ -79,4 +79,14 @@ def test_run_and_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], DOCS)
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).agg(F.sum("n_tokens")).head()[0] is None
-    assert WORD
+
+
+def test_scratch_is_cleared(spark):
+    from orebed.llm.common import clear_scratch, stored
+
+    kept = stored(spark.range(3).toDF("k"), "gone")
+    assert kept.count() == 3
+    clear_scratch(spark)
+    with pytest.raises(Exception, match="(?i)not exist|no such|FileNotFound"):
+        spark.catalog.clearCache()
+        kept.agg(F.sum("k")).collect()
