@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stored, text_of
 
 
 def exact_dedup(
@@ -39,13 +39,17 @@ def exact_dedup(
     repeated = groups.where("_n > 1").select("_hash")
 
     texts = rows.join(repeated, "_hash", "left_semi").groupBy("_hash", "_text").agg(F.count(F.lit(1)).alias("_tn"), best("_id").alias("_tbest"))
-    # A hash with more than one text: its rows are told apart by the text itself.
-    clashing = texts.groupBy("_hash").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("_hash", F.lit(True).alias("_clash"))
-
-    ids = rows.select("_hash", "_id", F.sha2("_text", 256).alias("text_sha256"))
-    plain = ids.join(groups, "_hash").join(clashing, "_hash", "left").where("_clash is null").select("_id", "_best", "_n", "text_sha256")
-    apart = rows.join(clashing, "_hash", "left_semi").join(texts, ["_hash", "_text"]).select("_id", F.col("_tbest").alias("_best"), F.col("_tn").alias("_n"), F.sha2("_text", 256).alias("text_sha256"))
-    return plain.unionAll(apart).select(
+    # A hash with more than one text: its rows are told apart by the text itself. There is hardly ever one, so the
+    # texts are compared first, and only if one is found do all rows send their texts again.
+    clashing = texts.groupBy("_hash").agg(F.count(F.lit(1)).alias("_texts")).where("_texts > 1").select("_hash")
+    clashing = stored(clashing, "hash-clashes")
+
+    verdicts = rows.select("_hash", "_id", F.sha2("_text", 256).alias("text_sha256")).join(groups, "_hash")
+    if clashing.limit(1).count():
+        apart = rows.join(clashing, "_hash", "left_semi").join(texts, ["_hash", "_text"])
+        apart = apart.select("_hash", "_id", F.sha2("_text", 256).alias("text_sha256"), F.col("_tn").alias("_n"), F.col("_tbest").alias("_best"))
+        verdicts = verdicts.join(clashing, "_hash", "left_anti").unionByName(apart)
+    return verdicts.select(
         F.col("_id").alias(id_col),
         F.col("_best").alias("keep_id"),
         F.col("_n").cast("long").alias("group_size"),
