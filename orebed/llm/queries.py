@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .media import media_features
 from .mixing import mix_plan
 from .ngram_join import ngram_jaccard_join
+from .passage_dedup import dedup_passages
 from .pii import replace_personal_data
 from .sentencepiece_codec import encode_documents
 from .warc import archive_pages
@@ -63,6 +64,10 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_personal_data(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "entity_kinds", "entities")
 
 
+def op11_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_passages(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_words", "removed_passages")
+
+
 _ALL = (
     op1_ngram_jaccard_join,
     op2_license_scan,
@@ -74,6 +79,7 @@ _ALL = (
     op8_exact_dedup,
     op9_sentencepiece,
     op10_pii_surrogates,
+    op11_passage_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
