@@ -126,8 +126,11 @@ def _surname(word: Column, key: str, script: Column, attempt: Column) -> Column:
     return F.initcap(F.when(script == "cyrillic", made[1]).otherwise(made[0]))
 
 
-def _person(value: Column, key: str, attempt: Column) -> Column:
-    """The title stays; every given name becomes one of the same gender and script, the last name a made one."""
+def _person(value: Column, key: str, attempt: Column, again: Column) -> Column:
+    """The title stays; every given name becomes one of the same gender and script, the last name a made one.
+
+    Given names that are drawn again are made ones too, with an a at the end for women.
+    """
     words = F.split(value, " ")
     title = F.regexp_replace(words[0], r"\.$", "")
     names = F.slice(words, F.lit(2), F.size(words) - 1)
@@ -138,14 +141,15 @@ def _person(value: Column, key: str, attempt: Column) -> Column:
     def given(word: Column) -> Column:
         n = _number(_draws(key, F.lit("given"), F.lower(word)), 0)
         options = {k: _pick(v, n) for k, v in GIVEN.items()}
-        return F.when(script == "cyrillic", F.when(female, options["cyrillic", "f"]).otherwise(options["cyrillic", "m"])).otherwise(F.when(female, options["latin", "f"]).otherwise(options["latin", "m"]))
+        made = F.concat(_surname(F.concat(F.lit("given "), word), key, script, again), F.when(female, F.when(script == "cyrillic", "а").otherwise("a")).otherwise(""))
+        return F.when(again != "0", made).when(script == "cyrillic", F.when(female, options["cyrillic", "f"]).otherwise(options["cyrillic", "m"])).otherwise(F.when(female, options["latin", "f"]).otherwise(options["latin", "m"]))
 
     new = F.transform(names, lambda w, i: F.when(i == F.size(names) - 1, _surname(w, key, script, attempt)).otherwise(given(w)))
     return F.concat_ws(" ", words[0], F.array_join(new, " "))
 
 
-def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
-    """A replacement of the same type and form, a pure function of key, type, value and attempt."""
+def surrogate(kind: Column, value: Column, key: str, attempt: Column, again: Column | None = None) -> Column:
+    """A replacement of the same type and form, a pure function of key, type, value, attempt and, for given names, `again`."""
     tried = attempt.cast("string")
     d = _draws(key, kind, value, tried)
     hexes = d.substr(F.lit(1), F.length(value))
@@ -157,7 +161,7 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
         .when(kind == "card", _card(value, d))
         .when(kind == "ssn", F.concat(F.lit("9"), _same_form(value.substr(F.lit(2), F.length(value)), d, (LETTERS["digit"],))))
         .when(kind == "phone", _phone(value, d))
-        .when(kind == "person", _person(value, key, tried))
+        .when(kind == "person", _person(value, key, tried, F.lit("0") if again is None else again.cast("string")))
         .otherwise(iban)
     )
 
@@ -166,27 +170,39 @@ def surrogates(values: DataFrame, key: str, most_rounds: int = 24) -> DataFrame:
     """(kind, value, surrogate, attempt) for the distinct (kind, value) rows.
 
     No two values of a kind share a surrogate, and no surrogate is itself a
-    value found in the corpus. Values that clash draw again with the next
-    attempt; of values that want one surrogate, the least keeps it. For
-    persons the attempt belongs to the last name, so that all mentions of a
-    last name move together. Fails if most_rounds do not settle all clashes.
+    value found in the corpus; persons whose names differ in case only are
+    one. Values that clash draw again with the next attempt; of values that
+    want one surrogate, the least keeps it. For persons the attempt belongs
+    to the last name, so that all mentions of a last name move together, and
+    full names of one last name that clash draw their given names again from
+    made ones. Fails if most_rounds do not settle all clashes.
     """
-    person = F.lower(F.element_at(F.split("value", " "), -1))
-    values = values.withColumn("unit", F.when(F.col("kind") == "person", person).otherwise(F.col("value")))
-    settled = stored(values.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, F.col("attempt"))), "surrogates")
+    person, folded = F.col("kind") == "person", lambda c: F.lower(F.regexp_replace(c, "^[^ ]+ ", ""))
+    last = F.lower(F.element_at(F.split("value", " "), -1))
+    values = values.withColumns({"unit": F.when(person, last).otherwise(F.col("value")), "full": F.when(person, folded("value"))})
+    settled = values.withColumns({"attempt": F.lit(0), "given": F.lit(0)})
+    settled = stored(settled.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, F.col("attempt"), F.col("given"))), "surrogates")
     known = settled.select("kind", F.col("value").alias("surrogate"))
     for _ in range(most_rounds):
         # Last names clash where two of them become one, whatever stands before them.
-        target = F.when(F.col("kind") == "person", F.element_at(F.split("surrogate", " "), -1)).otherwise(F.col("surrogate"))
+        target = F.when(person, F.element_at(F.split("surrogate", " "), -1)).otherwise(F.col("surrogate"))
         wanted = settled.select("kind", "unit", target.alias("target")).distinct()
         shared = wanted.groupBy("kind", "target").agg(F.min("unit").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
         losers = wanted.join(shared, ["kind", "target"]).where("unit <> owner").select("kind", "unit")
         real = settled.join(known, ["kind", "surrogate"], "left_semi").select("kind", "unit")
-        again = stored(losers.unionAll(real).distinct().withColumn("again", F.lit(1)), "clashes")
+        # Full names clash where two of one last name become one, whatever their titles.
+        names = settled.where(person).select("unit", "full", folded("surrogate").alias("target")).distinct()
+        one = names.groupBy("unit", "target").agg(F.min("full").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        given = names.join(one, ["unit", "target"]).where("full <> owner").select(F.lit("person").alias("kind"), "unit", "full")
+        moved = losers.unionAll(real).distinct().withColumn("full", F.lit(None).cast("string")).unionAll(given.distinct())
+        again = stored(moved, "clashes")
         if not again.limit(1).count():
             return settled.select("kind", "value", "surrogate", "attempt")
-        settled = settled.join(again, ["kind", "unit"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again")
-        settled = stored(settled.withColumn("surrogate", F.when(F.col("attempt") == 0, F.col("surrogate")).otherwise(surrogate(F.col("kind"), F.col("value"), key, F.col("attempt")))), "surrogates")
+        settled = settled.join(again.where("full IS NULL").select("kind", "unit", F.lit(1).alias("again")), ["kind", "unit"], "left")
+        settled = settled.join(again.where("full IS NOT NULL").select("kind", "unit", "full", F.lit(1).alias("other")), ["kind", "unit", "full"], "left")
+        settled = settled.withColumns({"attempt": F.col("attempt") + F.coalesce("again", F.lit(0)), "given": F.col("given") + F.coalesce("other", F.lit(0))}).drop("again", "other")
+        fresh = surrogate(F.col("kind"), F.col("value"), key, F.col("attempt"), F.col("given"))
+        settled = stored(settled.withColumn("surrogate", F.when((F.col("attempt") == 0) & (F.col("given") == 0), F.col("surrogate")).otherwise(fresh)), "surrogates")
     raise ValueError(f"surrogates still clash after {most_rounds} rounds")
 
 

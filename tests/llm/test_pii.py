@@ -79,3 +79,15 @@ def test_same_value_same_surrogate_everywhere(spark):
 
 def test_empty_table(spark):
     assert replace_personal_data(frame(spark, [])).count() == 0
+
+
+def test_persons_of_one_last_name_stay_apart(spark):
+    given = [f"{a}{b}" for a in ("Jo", "Al", "Ben", "Car", "Dor", "Ed") for b in ("an", "el", "in", "or", "us")]
+    people = [f"{t} {g} Smith" for t in ("Mr", "Mrs") for g in given] + [f"Господин {g} Петров" for g in ("Иван", "Пётр", "Олег", "Павел", "Антон", "Борис", "Роман", "Юрий", "Егор", "Яков")] + ["Mr Smith", "Dr Joan Smith"]
+    got = {r.value: r.surrogate for r in surrogates(spark.createDataFrame([("person", p) for p in people], "kind string, value string"), "key").collect()}
+    assert len(got) == len(people) == len(set(got.values()))
+    assert len({s.split()[-1] for p, s in got.items() if "Smith" in p}) == 1
+    assert all(s.split()[0] == p.split()[0] and len(s.split()) == len(p.split()) for p, s in got.items())
+    for title in ("Mr", "Mrs", "Господин"):
+        names = [s.split()[1] for p, s in got.items() if p.split()[0] == title and len(p.split()) == 3]
+        assert len(names) == len(set(names))
