@@ -26,26 +26,32 @@ SYLLABLES = {
 LETTERS = {"latin": ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digit": ("0123456789",), "hex": ("0123456789abcdef", "0123456789ABCDEF")}
 
 _NAME = r"\p{Lu}\p{L}+(?:[-'’]\p{Lu}\p{L}+)?"
+#: What issuers put before their keys. Fixed values.
+_PREFIX = r"(?:(?:sk|pk|rk)[-_](?:[a-z]{2,8}[-_])?|gh[opsur]_|github_pat_|glpat-|xox[abeprs]-|hf_|npm_|AKIA|ASIA|AIza)"
 _TITLE = "|".join(TITLES_F + TITLES_M + TITLES_N)
 #: In the order in which they claim a place in the text.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": rf"(?<![0-9A-Za-z])[0-9a-fA-F]{{32,}}(?![0-9A-Za-z])|(?<![0-9A-Za-z_-]){_PREFIX}[0-9A-Za-z_-]{{16,}}(?![0-9A-Za-z_-])|(?<![0-9A-Za-z_-])eyJ[0-9A-Za-z_-]{{8,}}\.[0-9A-Za-z_-]{{8,}}\.[0-9A-Za-z_-]{{8,}}",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
-    "card": r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|(?:[0-9]{4}[ -]){4}[0-9]{3}|(?<![0-9][.,])[0-9]{13,19})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}(?:\)?[ .-]|\))[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9+])\+[1-9](?:\)?[ .-]?\(?[0-9]){6,14}(?![0-9])"
+    r"|(?<![0-9.,/-])(?:0[0-9]{1,4}[ /-]|\(0[0-9]{1,4}\) ?)[0-9]{3,4}[ -]?[0-9]{3,5}(?![0-9])|(?<![0-9.,/-])0[1-9](?:[ .][0-9]{2}){4}(?![0-9.])",
     "person": rf"\b(?:{_TITLE})\b\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
 def kind_of(entity: Column) -> Column:
-    """The type whose pattern the whole entity matches."""
+    """The type whose pattern the whole entity matches; digits that are a card's only by a check digit they lack are a "number"."""
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(PATTERNS.items()):
-        out = F.when(entity.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
+        digits = F.regexp_replace(entity, "[^0-9]", "")
+        own = F.when((F.length(digits) != 16) & (_luhn(digits.substr(F.lit(1), F.length(digits) - 1)) != F.substring(digits, -1, 1)), "number").otherwise(kind) if kind == "card" else F.lit(kind)
+        out = F.when(entity.rlike(f"^(?:{pattern})$"), own).otherwise(out)
     return out
 
 
@@ -79,9 +85,9 @@ def _same_form(value: Column, draws: Column, letters: tuple[tuple[str, ...], ...
 
 
 def _luhn(digits: Column) -> Column:
-    """The last digit of a card number whose others are `digits` (15 of them)."""
+    """The last digit of a card number whose others are `digits`."""
     total = F.aggregate(
-        F.transform(F.split(digits, ""), lambda c, i: F.when(i % 2 == 0, (c.cast("int") * 2) % 10 + F.floor(c.cast("int") / 5).cast("int")).otherwise(c.cast("int"))),
+        F.transform(F.split(digits, ""), lambda c, i: F.when((F.length(digits) - i) % 2 == 1, (c.cast("int") * 2) % 10 + F.floor(c.cast("int") / 5).cast("int")).otherwise(c.cast("int"))),
         F.lit(0),
         lambda a, x: a + x,
     )
@@ -91,12 +97,24 @@ def _luhn(digits: Column) -> Column:
 def _card(value: Column, draws: Column) -> Column:
     """Digits in the same groups, the first one kept, with a right check digit where the original has one."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    body = F.concat(digits.substr(1, 1), _same_form(digits.substr(2, 14), draws, (LETTERS["digit"],)))
-    right = _luhn(digits.substr(1, 15)) == digits.substr(16, 1)
-    last = F.when(right, _luhn(body)).otherwise(_pick(list("0123456789"), _number(draws, 20)))
+    n = F.length(digits)
+    others = digits.substr(F.lit(1), n - 1)
+    body = F.concat(digits.substr(1, 1), _same_form(others.substr(F.lit(2), n), draws, (LETTERS["digit"],)))
+    last = F.when(_luhn(others) == F.substring(digits, -1, 1), _luhn(body)).otherwise(_pick(list("0123456789"), _number(draws, 20)))
     new = F.concat(body, last)
-    sep = F.regexp_extract(value, "^[0-9]{4}([ -]?)", 1)
-    return F.concat_ws("", new.substr(1, 4), sep, new.substr(5, 4), F.regexp_extract(value, "^[0-9]{4}[ -]?[0-9]{4}([ -]?)", 1), new.substr(9, 4), F.regexp_extract(value, "([ -]?)[0-9]{4}$", 1), new.substr(13, 4))
+    place = lambda i: F.length(F.regexp_replace(value.substr(F.lit(1), i + 1), "[^0-9]", ""))
+    return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9]"), new.substr(place(i), F.lit(1))).otherwise(c)), "")
+
+
+def _secret(value: Column, key: str, attempt: Column, draws: Column) -> Column:
+    """Hexadecimal digits in the case of the original; of other keys the prefix stays and the rest keeps its form."""
+    blocks = F.transform(F.sequence(F.lit(1), F.floor(F.length(value) / 128)), lambda j: _draws(key, F.lit("secret"), value, attempt, j.cast("string")))
+    hexes = F.when(F.length(value) <= 128, draws).otherwise(F.concat(draws, F.array_join(blocks, ""))).substr(F.lit(1), F.length(value))
+    cased = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[A-F]"), F.upper(hexes.substr(i + 1, F.lit(1)))).otherwise(hexes.substr(i + 1, F.lit(1)))), "")
+    hexes = F.when(~value.rlike("[A-F]"), hexes).when(~value.rlike("[a-f]"), F.upper(hexes)).otherwise(cased)
+    prefix = F.regexp_extract(value, f"^({_PREFIX}|eyJ)", 1)
+    form = F.concat(prefix, _same_form(value.substr(F.length(prefix) + 1, F.length(value)), draws, (LETTERS["latin"], LETTERS["digit"])))
+    return F.when(value.rlike("^[0-9a-fA-F]+$"), hexes).otherwise(form)
 
 
 def _ip(draws: Column) -> Column:
@@ -114,8 +132,8 @@ def _email(value: Column, key: str, attempt: Column) -> Column:
 
 
 def _phone(value: Column, draws: Column) -> Column:
-    """The country code stays; digits are drawn anew in the same groups."""
-    code = F.regexp_extract(value, r"^(\+[0-9]{1,3})", 1)
+    """The country code or a first 0 stays; digits are drawn anew in the same groups."""
+    code = F.regexp_extract(value, r"^(\+[0-9]{1,3}|\(?0[1-9]?)", 1)
     rest = value.substr(F.length(code) + 1, F.length(value))
     return F.concat(code, _same_form(rest, draws, (LETTERS["digit"],)))
 
@@ -152,11 +170,10 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column, again: Col
     """A replacement of the same type and form, a pure function of key, type, value, attempt and, for given names, `again`."""
     tried = attempt.cast("string")
     d = _draws(key, kind, value, tried)
-    hexes = d.substr(F.lit(1), F.length(value))
     iban = F.concat(value.substr(1, 2), _same_form(value.substr(F.lit(3), F.length(value)), d, (LETTERS["digit"], LETTERS["latin"])))
     return (
         F.when(kind == "email", _email(value, key, tried))
-        .when(kind == "secret", hexes)
+        .when(kind == "secret", _secret(value, key, tried, d))
         .when(kind == "ip", _ip(d))
         .when(kind == "card", _card(value, d))
         .when(kind == "ssn", F.concat(F.lit("9"), _same_form(value.substr(F.lit(2), F.length(value)), d, (LETTERS["digit"],))))
@@ -209,9 +226,11 @@ def surrogates(values: DataFrame, key: str, most_rounds: int = 24) -> DataFrame:
 def replace_personal_data(docs: DataFrame, text_col: str = "text", key: str = "orebed") -> DataFrame:
     """docs with personal data replaced, plus n_entities, entity_kinds (sorted, distinct) and entities.
 
-    Found are e-mail addresses, hexadecimal secrets, IBANs, IPv4 addresses,
-    card numbers, US social security and telephone numbers, and names after a
-    title. `entities` lists (kind, surrogate, start) in the order of the text,
+    Found are e-mail addresses, hexadecimal secrets of 32 digits or more, keys
+    with an issuer's prefix and signed tokens, IBANs, IPv4 addresses, card
+    numbers (16 digits, or 13 to 19 with a right check digit), US social
+    security numbers, telephone numbers (3-3-4 digits, international ones
+    after a plus, national ones from 0), and names after a title. `entities` lists (kind, surrogate, start) in the order of the text,
     start counted in characters of the new text. The same value has the same
     surrogate everywhere, and different values have different ones.
 
@@ -224,11 +243,11 @@ def replace_personal_data(docs: DataFrame, text_col: str = "text", key: str = "o
     side has one row a list, so a list or a value in a third of all rows is
     a skewed join that Spark splits.
     """
-    results = ("n_entities", "entity_kinds", "entities", "_found", "_f1", "_f2", "_new", "_kinds")
+    results = ("n_entities", "entity_kinds", "entities", "_found", "_f1", "_f2", "_new", "_kinds", "_old")
     docs = without(docs, *results)
     text = text_of(text_col)
-    # A text without a digit run, @ or title holds none; this test is much cheaper than the patterns.
-    maybe = text.rlike(rf"[0-9]{{2}}|@|[0-9]\.[0-9]|\b(?:{_TITLE})\b")
+    # A text without a digit run, @, a plus before a digit, a long word or title holds none; this test is much cheaper than the patterns.
+    maybe = text.rlike(rf"[0-9]{{2}}|@|[0-9]\.[0-9]|\+[1-9]|[0-9A-Za-z_-]{{19}}|eyJ|\b(?:{_TITLE})\b")
     found = F.when(maybe, F.regexp_extract_all(text, F.lit(ENTITY), 0)).otherwise(F.array().cast("array<string>"))
     f1, f2 = hash128(F.col("_found"))
     marked = docs.withColumn("_found", found)
@@ -237,10 +256,14 @@ def replace_personal_data(docs: DataFrame, text_col: str = "text", key: str = "o
 
     lists = stored(hit.select("_f1", "_f2", "_found").dropDuplicates(["_f1", "_f2"]), "entity-lists")
     each = lists.select("_f1", "_f2", F.posexplode("_found").alias("at", "value"))
-    named = stored(surrogates(each.select(kind_of(F.col("value")).alias("kind"), "value").distinct(), key), "surrogates")
-    new = each.join(named.select("value", "kind", "surrogate"), "value").groupBy("_f1", "_f2").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "surrogate"))).alias("_new"))
-
-    between = F.split(text, ENTITY, -1)
+    kinds = stored(each.select("value").distinct().withColumn("kind", kind_of(F.col("value"))), "kinds")
+    # Numbers that are no cards after all stand for themselves.
+    plain = kinds.where("kind = 'number'").select("value", "kind", F.col("value").alias("surrogate"))
+    named = stored(surrogates(kinds.where("kind <> 'number'").select("kind", "value"), key).select("value", "kind", "surrogate").unionAll(plain), "surrogates")
+    new = each.join(named, "value").groupBy("_f1", "_f2").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "surrogate"))).alias("_new"))
+
+    # The old text has a name of its own, so that places are not counted in the new one.
+    between = F.split(text_of("_old"), ENTITY, -1)
     steps = F.sequence(F.lit(0), F.size("_new") - 1)
     pieces = F.flatten(F.transform(steps, lambda i: F.array(F.get(between, i), F.get(F.col("_new.surrogate"), i))))
     rebuilt = F.concat(F.array_join(pieces, ""), F.element_at(between, -1))
@@ -252,11 +275,12 @@ def replace_personal_data(docs: DataFrame, text_col: str = "text", key: str = "o
             F.concat(a["out"], F.array(F.struct(F.get(F.col("_new.kind"), i).alias("kind"), F.get(F.col("_new.surrogate"), i).alias("surrogate"), (a["at"] + F.length(F.get(between, i))).alias("start")))).alias("out"),
         ),
     )["out"]
+    starts = F.filter(starts, lambda e: e["kind"] != "number")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    changed = hit.join(new, ["_f1", "_f2"]).select(
+    changed = hit.join(new, ["_f1", "_f2"]).withColumnRenamed(text_col, "_old").select(
         *[rebuilt.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        F.size("_new").cast("long").alias("n_entities"),
-        F.sort_array(F.array_distinct(F.col("_new.kind"))).alias("entity_kinds"),
+        F.size(starts).cast("long").alias("n_entities"),
+        F.sort_array(F.array_distinct(F.transform(starts, lambda e: e["kind"]))).alias("entity_kinds"),
         starts.alias("entities"),
     )
     kept = clean.select(*columns, F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("entity_kinds"), F.array().cast("array<struct<kind:string,surrogate:string,start:int>>").alias("entities"))
