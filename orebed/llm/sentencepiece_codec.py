@@ -21,8 +21,8 @@ SPACE = "▁"
 class Vocabulary:
     """Pieces, scores, the ids of the 256 bytes and the unknown id of a model; small enough to send to every worker."""
 
-    def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], unknown: int, special: set[int]):
-        self.pieces, self.scores, self.byte_ids, self.unknown, self.special = pieces, scores, byte_ids, unknown, special
+    def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], unknown: int, special: set[int], merges: bool = False):
+        self.pieces, self.scores, self.byte_ids, self.unknown, self.special, self.merges = pieces, scores, byte_ids, unknown, special, merges
 
     @classmethod
     def load(cls, path: str | Path) -> Vocabulary:
@@ -35,18 +35,34 @@ class Vocabulary:
             if model.is_byte(i):
                 byte_ids[int(model.id_to_piece(i)[3:5], 16)] = i
         special = {i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)}
-        return cls([model.id_to_piece(i) for i in range(n)], [model.get_score(i) for i in range(n)], byte_ids, model.unk_id(), special)
+        scores = [model.get_score(i) for i in range(n)]
+        # Merge ranks are whole numbers that fall from piece to piece; log probabilities are not.
+        ranks = [s for i, s in enumerate(scores) if i not in special and s > -1e9]
+        merges = all(s == int(s) for s in ranks) and all(a > b for a, b in zip(ranks, ranks[1:], strict=False))
+        probe = "  \u00e9 e\u0301 \ufb01\u2460  A\t "
+        if "".join(model.encode_as_pieces(probe)).replace(SPACE, " ") and model.decode(model.encode(probe)) != probe:
+            raise ValueError("models that normalise their text are not read here")
+        return cls([model.id_to_piece(i) for i in range(n)], scores, byte_ids, model.unk_id(), special, merges)
 
 
 class Codec:
     """encode and decode for one vocabulary.
 
-    A text gets one space in front and spaces become U+2581; it then
-    decomposes, without loss, into the pieces of the highest total score, the
-    longer last piece at equal scores. A character that is no piece costs the
-    least score less 10 and becomes its UTF-8 bytes where the vocabulary has
-    all bytes, else the unknown id. Since no piece has U+2581 or a line break
-    after another character, words are encoded one by one and remembered.
+    A text gets one space in front and spaces become U+2581; one pass over the
+    automaton's matches then relaxes the best path to each position.
+
+    Where scores are log probabilities, the best path has the highest total
+    score, and the longer last piece at equal scores; a character that is no
+    piece costs the least score less 10. Where they are merge ranks, their sum
+    says nothing: a path is the one that the merges give exactly if each two
+    neighbours on it are what the merges make of the two together. One piece
+    that ends at a position fits the path to its start in this way, and the
+    pass takes it.
+
+    A character that is no piece becomes its UTF-8 bytes where the vocabulary
+    has all bytes, else the unknown id. Since no piece has U+2581 or a line
+    break after another character, words are encoded one by one and
+    remembered.
     """
 
     def __init__(self, vocabulary: Vocabulary, most_words: int = 200_000):
@@ -68,8 +84,65 @@ class Codec:
         self.byte_at = {i: b for b, i in enumerate(v.byte_ids) if i >= 0}
         self.text_of = ["" if i in v.special else p for i, p in enumerate(v.pieces)]
         self.most_words, self.memo = most_words, {}
+        self.rank = {p: (v.scores[i], i) for i, p in enumerate(v.pieces) if i not in v.special and p}
+        self.stable: dict[tuple[int, int], bool] = {}
+
+    def merged(self, text: str) -> list[int]:
+        """What merging the best pair of neighbours again and again makes of a text of known characters, the leftmost of equal ones first."""
+        parts, rank = list(text), self.rank
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                found = rank.get(parts[i] + parts[i + 1])
+                if found is not None and (best is None or found[0] > best):
+                    best, at = found[0], i
+            if at < 0:
+                return [rank[p][1] for p in parts]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def fits(self, before: int, piece: int) -> bool:
+        """Whether merging leaves the two pieces as they are; before is -1 at the start and after an unknown character."""
+        pieces = self.v.pieces
+        if before < 0:
+            return self.merged(pieces[piece]) == [piece]
+        return self.merged(pieces[before] + pieces[piece]) == [before, piece]
+
+    def merge_path(self, chunk: str) -> list[int]:
+        """The merges' result: at each position the one matching piece that fits the path to its start."""
+        n, stable, single = len(chunk), self.stable, self.single
+        if len(stable) > 2_000_000:
+            stable.clear()
+        via, step = [-1] * (n + 1), [0] * (n + 1)
+        for end, (length, piece, _) in self.automaton.iter(chunk):
+            end += 1
+            if step[end]:
+                continue
+            start = end - length
+            if start and not step[start] and chunk[start - 1] in single:
+                continue
+            pair = (via[start], piece)
+            good = stable.get(pair)
+            if good is None:
+                good = stable[pair] = self.fits(*pair)
+            if good:
+                via[end], step[end] = piece, length
+        out: list[int] = []
+        while n:
+            if step[n]:
+                out.append(via[n])
+                n -= step[n]
+            else:
+                out.extend(self._unknown(chunk[n - 1]))
+                n -= 1
+        return out[::-1]
+
+    def _unknown(self, char: str) -> list[int]:
+        """The ids of a character that is no piece, last byte first."""
+        return [self.v.byte_ids[b] for b in reversed(char.encode("utf-8", "surrogatepass"))] if self.bytes_of else [self.v.unknown]
 
     def viterbi(self, chunk: str) -> list[int]:
+        if self.v.merges:
+            return self.merge_path(chunk)
         n = len(chunk)
         low = float("-inf")
         best, step, via = [0.0] + [low] * n, [0] * (n + 1), [-1] * (n + 1)
@@ -92,12 +165,7 @@ class Codec:
                     best[end + 1], step[end + 1], via[end + 1] = best[end] + self.unknown_score, 1, -1
         out: list[int] = []
         while n:
-            if via[n] >= 0:
-                out.append(via[n])
-            elif self.bytes_of:
-                out.extend(self.v.byte_ids[b] for b in reversed(chunk[n - 1].encode("utf-8", "surrogatepass")))
-            else:
-                out.append(self.v.unknown)
+            out.extend([via[n]] if via[n] >= 0 else self._unknown(chunk[n - 1]))
             n -= step[n]
         return out[::-1]
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from orebed.llm.langid import Profiles, identify_languages, page_evidence, train_profiles, trigrams
-from orebed.llm.sentencepiece_codec import SPACE, Codec, Vocabulary, encode_documents
+from orebed.llm.sentencepiece_codec import DEFAULT_MODEL, SPACE, Codec, Vocabulary, encode_documents
 
 WORDS = {"en": "the and of that with from this have which their".split(), "de": "der und die nicht eine werden auch sich haben über".split(), "fr": "les des une dans pour avec être cette nous était".split()}
 
@@ -146,3 +146,31 @@ def test_many_hosts_take_the_salted_join(spark, profiles, labelled):
     few = identify_languages(rows, profiles, carry=["doc_id"]).collect()
     many = identify_languages(rows, profiles, carry=["doc_id"], most_broadcast=0).collect()
     assert sorted(map(str, few)) == sorted(map(str, many)) and len(few) == 180
+
+
+def test_ids_are_those_of_the_given_model(spark, sf):
+    """Whole documents and random texts, against the model's own merges."""
+    import random
+
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=DEFAULT_MODEL)
+    draw = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz     \n\t.,ABCéßж漢字🙂0123456789_=-<>{}()▁"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 80))) for _ in range(400)]
+    texts += ["a" * 500, "ab" * 300, " " * 77, "\n\n\n  x", "<s> </s> <0x41>", "the" * 100, "▁▁ ▁", "éﬁ", ""]
+    codec = Codec(Vocabulary.load(DEFAULT_MODEL))
+    assert [codec.encode(t).tolist() for t in texts] == model.encode(texts)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.token_ids for r in encode_documents(docs).collect()}
+    assert got == {r.doc_id: model.encode(r.text or "") for r in docs.collect()}
+
+
+def test_a_long_word_takes_linear_time():
+    import random
+    import time
+
+    codec, draw = Codec(Vocabulary.load(DEFAULT_MODEL)), random.Random(3)
+    text = "".join(draw.choice("abcdefghij0123456789") for _ in range(300_000))
+    began = time.time()
+    assert codec.decode(codec.encode(text)) == text and time.time() - began < 20
