@@ -41,6 +41,11 @@ def test_exact_dedup_tells_texts_apart_that_share_a_hash(spark):
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 1, 2, True), (2, 2, 1, True), (3, 1, 2, False), (4, 4, 1, True)]
 
 
+def test_exact_dedup_with_many_repeated_texts_takes_the_shuffled_join(spark):
+    few, many = (exact_dedup(frame(spark, ODD), most_broadcast=n).collect() for n in (100, 0))
+    assert sorted(map(str, few)) == sorted(map(str, many))
+
+
 def test_empty_tables(spark):
     empty = frame(spark, [])
     assert exact_dedup(empty).count() == dedup_lines(empty).count() == mix_plan(empty).count() == mix_documents(empty).count() == 0
