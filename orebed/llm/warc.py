@@ -150,7 +150,7 @@ def parse(data: bytes) -> dict:
     return out | {"payload_bytes": len(payload), "payload_digest": digest, "payload": payload}
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, frame_bytes: int = 256 << 10, bundle_bytes: int = 64 << 20) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, frame_bytes: int = 256 << 10, bundle_bytes: int = 64 << 20, most_broadcast: int = 500_000) -> DataFrame:
     """Writes bundles of WARC records under `path` and returns their index: page_id, bundle, frame, offset, length.
 
     Of rows with equal payloads of at least min_bytes, those with the smallest
@@ -160,14 +160,20 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     A task writes bundles of about bundle_bytes under names of its own, and
     the index names those of the tasks that ended well: what a lost or
-    repeated task left behind is never read.
+    repeated task left behind is never read (drop_strays deletes it).
+
+    Payload hashes are counted first. The repeated ones with their smallest
+    ids are broadcast where there are at most most_broadcast of them, so that
+    no payload travels: each task writes what it has read. A larger table is
+    joined by a shuffle, whose hot hashes Spark splits, since the other side
+    has one row a hash.
     """
     ship(pages.sparkSession)
     payload = F.encode(text_of(html_col), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha2("payload", 256))
-    firsts = rows.groupBy("sha").agg(F.min("id").alias("first"))
-    rows = rows.join(firsts, "sha")
-    again = ~F.col("id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= min_bytes)
+    firsts = stored(rows.groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "warc-copies")
+    rows = rows.join(F.broadcast(firsts) if firsts.count() <= most_broadcast else firsts, "sha", "left")
+    again = F.col("copies").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= min_bytes)
     rows = rows.select("id", "url", "payload", F.when(again, F.col("first")).alias("first"), again.alias("again"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +206,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 def read_archives(index: DataFrame, path: str, payloads: bool = False) -> DataFrame:
     """The records that the index rows point to: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload).
 
-    Rows of a bundle meet in one task in the order of their frames; only
-    frames with a wanted record are read, and each of them once. A record,
-    frame or seek table that does not fit its checksums fails the job.
+    Rows of a bundle meet in one task in the order of their frames, and there
+    are as many tasks as bundles; only frames with a wanted record are read,
+    and each of them once. A record, frame or seek table that does not fit its
+    checksums fails the job.
     """
     ship(index.sparkSession)
     kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), *([("payload", pa.binary())] if payloads else [])]
@@ -220,11 +227,25 @@ def read_archives(index: DataFrame, path: str, payloads: bool = False) -> DataFr
                 found.append(parse(data[offset : offset + length]))
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], k) for n, k in kinds], [n for n, _ in kinds])
 
-    wanted = index.select("bundle", "frame", "offset", "length").repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+    bundles = max(1, index.select("bundle").distinct().count())
+    # A number given with the key keeps Spark from merging the small index into few tasks.
+    wanted = index.select("bundle", "frame", "offset", "length").repartition(bundles, "bundle").sortWithinPartitions("bundle", "frame", "offset")
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads
     return wanted.mapInArrow(read, schema)
 
 
+def drop_strays(index: DataFrame, path: str) -> int:
+    """Deletes the bundles under `path` that the index does not name, when no task writes there any more; returns their number."""
+    spark = index.sparkSession
+    store, root = fs.FileSystem.from_uri(path)
+    names = [(f.base_name,) for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".warc.zst")]
+    there = spark.createDataFrame(names, "bundle string")
+    strays = [r.bundle for r in there.join(index.select("bundle").distinct(), "bundle", "left_anti").collect()]
+    for name in strays:
+        store.delete_file(f"{root}/{name}")
+    return len(strays)
+
+
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes all pages to archives in the shared folder and reads every record back."""
     path = scratch(pages.sparkSession, "warc")
