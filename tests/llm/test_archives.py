@@ -52,6 +52,23 @@ def test_one_record_is_read_from_its_frame(spark):
     assert [bytes(r.payload).decode() for r in one] == ["<p>é</p>"]
 
 
+def test_many_copies_take_the_shuffled_join(spark):
+    path, other = scratch(spark, "test-warc"), scratch(spark, "test-warc")
+    few, many = (warc.read_archives(warc.write_archives(frame(spark, ROWS), p, most_broadcast=n), p).collect() for p, n in ((path, 100), (other, 0)))
+    assert sorted(map(str, few)) == sorted(map(str, many))
+
+
+def test_bundles_are_read_by_as_many_tasks(spark):
+    path = scratch(spark, "test-warc")
+    index = warc.write_archives(frame(spark, [(i, "u", f"{i} " * 400) for i in range(400)]).coalesce(2), path, bundle_bytes=40_000)
+    bundles = index.select("bundle").distinct().count()
+    read = warc.read_archives(index, path)
+    assert bundles > 8 and read.rdd.getNumPartitions() == bundles and read.count() == 400
+    stray = Path(path.removeprefix("file://")) / "left.warc.zst"
+    stray.write_bytes(b"x")
+    assert warc.drop_strays(index, path) == 1 and not stray.exists() and read.count() == 400
+
+
 def test_damage_is_noticed():
     sink = io.BytesIO()
     sink.close = lambda: None
@@ -127,6 +144,37 @@ def test_cosine_hash_is_steady():
     assert (bits(media.cosine_hash(a)) != bits(media.cosine_hash(b))).sum() <= 4 and len(media.cosine_hash(a)) == 8
 
 
+def plain_cosine_hash(samples):
+    """The definition, without matrices: averages of 32 x 32 cells, sums of cosines, bits above the median."""
+    grey = samples.reshape(len(samples), -1, 3).mean(axis=2)
+
+    def cell(n, i):
+        return range(i * n // 32, (i + 1) * n // 32) if n >= 32 else [i * n // 32]
+
+    small = [[np.mean([[grey[y, x] for x in cell(grey.shape[1], j)] for y in cell(grey.shape[0], i)]) for j in range(32)] for i in range(32)]
+    low = []
+    for u in range(8):
+        for v in range(8):
+            low.append(round(sum(small[y][x] * np.cos(np.pi * u * (2 * y + 1) / 64) * np.cos(np.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)), 6))
+    middle = sorted(low[1:])[31]
+    bits = "".join("1" if c > middle else "0" for c in low)
+    return int(bits, 2).to_bytes(8, "big")
+
+
+@pytest.mark.parametrize("height", [1, 7, 32, 75])
+def test_cosine_hash_is_the_plain_one(height):
+    rng = np.random.default_rng(height)
+    a = rng.integers(0, 255, (height, 192)).astype(np.uint8)
+    assert media.cosine_hash(a) == plain_cosine_hash(a)
+
+
+def test_long_images_have_several_chunks():
+    samples = np.random.default_rng(1).integers(0, 255, (2000, 192)).astype(np.uint8)
+    png = media.write_png(samples.tobytes())
+    kinds = [k for k, _ in media.chunks(png)]
+    assert kinds.count(b"IDAT") > 3 and all(len(d) <= media.CHUNK for _, d in media.chunks(png)) and (media.read_png(png) == samples).all()
+
+
 def test_media_features(spark):
     texts = [None, "", "ab", "ab", "é" * 50_000, "x" * 192]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, media int")
