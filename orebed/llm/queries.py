@@ -61,7 +61,9 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_personal_data(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "entity_kinds", "entities")
+    """The key is the setting orebed.pii.key; the tables here are synthetic, so a public one stands in where it is unset."""
+    key = spark.conf.get("orebed.pii.key", "key of the synthetic tables")
+    return replace_personal_data(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_entities", "entity_kinds", "entities")
 
 
 def op11_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
