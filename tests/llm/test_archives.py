@@ -10,8 +10,6 @@ import zstandard
 
 from orebed.llm import media, warc
 from orebed.llm.common import scratch
-from orebed.llm.licenses import TEMPLATES, TemplateIndex, align, find_licenses, grams, scan_licenses, winnow
-from orebed.llm.shingles import word_hashes
 
 PAGES = "page_id long, url string, html string, bundle string, sha string"
 
@@ -185,52 +183,3 @@ def test_media_features(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
         assert r.media_sha256 == hashlib.sha256(media.write_png(padded)).hexdigest() and len(r.feature) == 16
     assert got[2][1:] == got[3][1:] and media.media_features(df.where("false")).count() == 0
-
-
-def test_winnowing_guarantee():
-    rng = np.random.default_rng(2)
-    for _ in range(50):
-        shared = rng.integers(0, 99, 5).astype(np.uint64)
-        a = np.concatenate([rng.integers(100, 10**6, rng.integers(0, 20)).astype(np.uint64), shared, rng.integers(100, 10**6, 9).astype(np.uint64)])
-        b = np.concatenate([rng.integers(10**6, 10**7, rng.integers(0, 20)).astype(np.uint64), shared])
-        ga, gb = grams(a, 4), grams(b, 4)
-        assert set(ga[winnow(ga, 2)].tolist()) & set(gb[winnow(gb, 2)].tolist())
-
-
-def lcs(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        old = row[:]
-        for j, y in enumerate(b):
-            row[j + 1] = old[j] + 1 if x == y else max(old[j + 1], row[j])
-    return row[-1]
-
-
-def test_alignment_bridges_edits():
-    t = word_hashes(" ".join(f"t{i}" for i in range(40)))
-    words = [f"t{i}" for i in range(40)]
-    words[5] = "other"
-    words[12:12] = ["in", "serted"]
-    del words[30:32]
-    w = word_hashes("before it " + " ".join(words) + " after it")
-    matched, first, last = align(t, w, 2, 16)
-    assert matched == lcs(t.tolist(), w.tolist()) == 37 and (first, last) == (2, 2 + len(words))
-
-
-def test_every_template_is_found_in_a_text():
-    index = TemplateIndex(TEMPLATES)
-    for name, texts in TEMPLATES.items():
-        for t in texts:
-            doc = f"Some words before.\n{t}\nand after it, ÄÖ."
-            hits = find_licenses(doc, index, 0.8, 16)
-            assert any(h[0] == name and h[1] == 1.0 for h in hits), (name, hits)
-            best = next(h for h in hits if h[0] == name)
-            assert doc[best[3] : best[4]] in t
-
-
-def test_scan_licenses(spark):
-    rows = [(1, None), (2, ""), (3, "word " * 50_000 + "Released under the MIT License."), (4, "released under  THE mit license"), (4, "released under  THE mit license"), (5, "the license of this work"), (6, "This work is licensed under the GNU General Public License, version 3. Licensed under CC BY-NC 4.0.")]
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, license string")
-    got = sorted((r.doc_id, r.license, r.coverage) for r in scan_licenses(df).collect())
-    assert got == [(3, "MIT", 1.0), (4, "MIT", 1.0), (4, "MIT", 1.0), (6, "CC-BY-NC-4.0", 1.0), (6, "GPL-3.0", 1.0)]
-    assert scan_licenses(df.where("false")).count() == 0
