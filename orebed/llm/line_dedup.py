@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash128, text_of, without
+from .common import hash128, stored, text_of, without
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def line_windows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """A row per line with words from which at least min_words words follow in its document.
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """The winnowed selection: a row for each selected line, _id, _t1, _t2 (hashes of the text), _fp (the line's hash) and _windows.
 
-    The window of such a line is the shortest run of lines, from it on, that
-    holds min_words words. w1 and w2 hash the window's lines, fp is the
-    smallest line hash in it, and fp_new tells whether the window before has
-    another fingerprint: the rows with fp_new are the winnowed selection.
+    Lines without words do not count. The window of a line is the shortest run
+    of lines, from it on, that holds min_words words; each full window selects
+    the first of its lines with the least hash. _windows lists those that
+    select the line, in order: first line, last line, and two hashes of all
+    lines in the window. They reach as far to both sides of the line as it
+    stays the least, so every repetition of min_words words holds a selected
+    line with equal windows around it.
     """
-    text = text_of(text_col)
-    t1, t2 = hash128(text)
+    t1, t2 = hash128(text_of(text_col))
     lines = (
-        docs.select(F.col(id_col).alias("_id"), t1.alias("_t1"), t2.alias("_t2"), F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"))
+        docs.select(F.col(id_col).alias("_id"), t1.alias("_t1"), t2.alias("_t2"), F.posexplode(F.split(text_of(text_col), "\n", -1)).alias("_pos", "_line"))
         .withColumn("_nw", F.regexp_count("_line", F.lit(WORD)).cast("long"))
         .where("_nw > 0")
     )
@@ -39,34 +41,52 @@ def line_windows(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
         .withColumn("_words", F.sum("_nw").over(ahead))
         .withColumn("_end", F.max("_pos").over(ahead))
         .withColumn("_fp", F.array_min("_l1"))
-        .withColumn("_fpos", F.row_number().over(in_order) + F.array_position("_l1", F.col("_fp")))
-    )
-    windows = windows.withColumn("_fp_new", ~F.lag("_fpos").over(in_order).eqNullSafe(F.col("_fpos")))
-    return windows.where(F.col("_words") >= min_words).select(
-        *doc, "_pos", "_end", "_fp", "_fp_new", F.xxhash64("_l1").alias("_w1"), F.xxhash64("_l2").alias("_w2")
+        .withColumn("_at", F.row_number().over(in_order) + F.array_position("_l1", F.col("_fp")))
     )
+    window = F.struct("_pos", "_end", F.xxhash64("_l1").alias("_w1"), F.xxhash64("_l2").alias("_w2"))
+    full = windows.where(F.col("_words") >= min_words).select(*doc, "_at", "_fp", window.alias("_window"))
+    # The rows of a document are in one task already, so this grouping does not shuffle.
+    return full.groupBy(*doc, "_at").agg(F.first("_fp").alias("_fp"), F.sort_array(F.collect_list("_window")).alias("_windows")).drop("_at")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """The runs to delete: _id, _t1, _t2 (hashes of the text), first and last line, and the id of the document that has the run first.
 
-    A window fingerprint that the winnowed selection holds once in the corpus
-    cannot be part of a repetition and leaves at once. What remains is joined
-    by whole windows to its first occurrence in the order (id, line); runs
-    grow both ways as far as windows go on matching.
+    Positions of the selected lines are joined by their hash; a hash that is
+    selected once in the corpus leaves at once. Around a joined position the
+    match is extended both ways by comparing the lines of its windows, without
+    laying out pairs of positions: those whose windows are all equal follow
+    their first one as a whole, in the order (id, line), and among these first
+    ones each window follows the first equal one. Matched windows that touch
+    grow into one run.
     """
-    windows = line_windows(docs, id_col, text_col, min_words)
-    often = windows.groupBy("_fp").agg(F.sum(F.col("_fp_new").cast("int")).alias("_n")).where("_n > 1").select("_fp")
-    windows = windows.join(often, "_fp", "left_semi")
-    place = F.struct("_id", "_t1", "_t2", "_pos")
-    firsts = windows.groupBy("_w1", "_w2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    later = windows.join(firsts, ["_w1", "_w2"]).where(place > F.col("_first"))
+    selected = stored(fingerprints(docs, id_col, text_col, min_words), "line-fingerprints")
+    often = selected.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_fp")
+    joined = selected.join(often, "_fp", "left_semi")
+    around = F.transform("_windows", lambda w: F.struct(w["_w1"], w["_w2"]))
+    s1, s2 = hash128(around)
     doc = ["_id", "_t1", "_t2"]
+    place = F.struct(*doc, F.col("_windows")[0]["_pos"].alias("_pos"))
+    joined = joined.select("_fp", *doc, "_windows", s1.alias("_s1"), s2.alias("_s2"), place.alias("_place"))
+    same = ["_fp", "_s1", "_s2"]
+    firsts = joined.groupBy(*same).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    firsts = stored(firsts, "line-firsts")
+
+    whole = joined.join(firsts.where("_n > 1").drop("_n"), same).where(F.col("_place") > F.col("_first"))
+    whole = whole.select(*doc, F.col("_windows")[0]["_pos"].alias("_pos"), F.array_max("_windows._end").alias("_end"), F.col("_first._id").alias("_origin"))
+    # A hash with one kind of surroundings has nothing else in common.
+    kinds = firsts.groupBy("_fp").agg(F.count(F.lit(1)).alias("_kinds")).where("_kinds > 1").select("_fp")
+    single = joined.join(firsts.join(kinds, "_fp", "left_semi").drop("_n"), same).where(F.col("_place") == F.col("_first"))
+    single = single.select(*doc, F.explode("_windows").alias("_w")).select(*doc, "_w.*")
+    place = F.struct(*doc, "_pos")
+    origins = single.groupBy("_w1", "_w2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    parts = single.join(origins, ["_w1", "_w2"]).where(place > F.col("_first")).select(*doc, "_pos", "_end", F.col("_first._id").alias("_origin"))
+
     in_order = Window.partitionBy(*doc).orderBy("_pos")
     reach = F.max("_end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = later.withColumn("_starts", F.coalesce((F.col("_pos") > reach + 1).cast("int"), F.lit(1)))
+    runs = whole.unionAll(parts).withColumn("_starts", F.coalesce((F.col("_pos") > reach + 1).cast("int"), F.lit(1)))
     runs = runs.withColumn("_run", F.sum("_starts").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*doc, "_run").agg(F.min("_pos").alias("_from"), F.max("_end").alias("_to"), F.min("_first._id").alias("_origin"))
+    return runs.groupBy(*doc, "_run").agg(F.min("_pos").alias("_from"), F.max("_end").alias("_to"), F.min("_origin").alias("_origin"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:

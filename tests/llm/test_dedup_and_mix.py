@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orebed.llm.exact_dedup import exact_dedup
-from orebed.llm.line_dedup import dedup_lines
+from orebed.llm import line_dedup
+from orebed.llm.line_dedup import dedup_lines, fingerprints
 from orebed.llm.mixing import WORD, apportion, mix_documents, mix_plan, source_targets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,6 +103,38 @@ def test_line_dedup_against_plain_python(spark):
     assert sum(passage[2] in (r.text or "") for r in got) == 1
 
 
+def test_selected_lines_are_the_least_of_their_windows(spark):
+    """Each full window of lines selects its least line, and nothing else is selected."""
+    rng = random.Random(6)
+    rows = [(i, "\n".join(" ".join(f"w{rng.randint(0, 3)}" for _ in range(rng.randint(0, 6))) for _ in range(40)), "s") for i in range(5)]
+    df = frame(spark, rows)
+    least = {r.line: r.h for r in df.select(F.explode(F.split("text", "\n")).alias("line")).select("line", F.xxhash64("line").alias("h")).collect()}
+    for i, text, _ in rows:
+        lines = [(k, x) for k, x in enumerate(text.split("\n")) if x.split()]
+        want = defaultdict(list)
+        for a in range(len(lines)):
+            words, b = 0, a
+            while b < len(lines) and words < 20:
+                words += len(lines[b][1].split())
+                b += 1
+            if words >= 20:
+                at = min(range(a, b), key=lambda k: (least[lines[k][1]], k))
+                want[at].append((lines[a][0], lines[b - 1][0]))
+        got = fingerprints(df.where(F.col("doc_id") == i), "doc_id", "text", 20).collect()
+        assert sorted([(w._pos, w._end) for w in r._windows] for r in got) == sorted(want.values())
+        assert sorted(r._fp for r in got) == sorted(least[lines[k][1]] for k in want)
+
+
+def test_line_dedup_rests_on_the_selected_lines(spark, monkeypatch):
+    """Without the selected positions nothing is found; with them the later copies go."""
+    run = "\n".join(f"line {i} of a run that repeats" for i in range(9))
+    df = frame(spark, [(i, f"before {i}\n{run}\nafter {i}", "s") for i in range(4)])
+    assert sorted(r.removed_lines for r in dedup_lines(df).collect()) == [0, 9, 9, 9]
+    whole = fingerprints
+    monkeypatch.setattr(line_dedup, "fingerprints", lambda *a: whole(*a).where("false"))
+    assert dedup_lines(df).where("removed_lines > 0").count() == 0
+
+
 def sainte_lague(votes, seats):
     won = Counter()
     for _ in range(seats):
