@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import ship, slices, stored, text_of, without
 
 BUCKETS = 1 << 15
+#: Labels before a country's that are part of the public suffix. Fixed values.
+SECOND_LEVEL = ["ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "nom", "or", "org"]
 
 
 @functools.cache
@@ -49,15 +51,14 @@ class Profiles:
         return np.array([row[g].sum(dtype=np.float64) for row in self.log]), len(g)
 
 
-def train_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, most_languages: int = 64) -> Profiles:
-    """Trigram profiles from at most per_language rows of each of the most_languages most frequent labels.
+def train_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200) -> Profiles:
+    """Trigram profiles from at most per_language rows of each label; every label is a language.
 
     The rows are those with the least md5 of the id. This bounded sample only
     fits the classifier; everything counted later covers all rows.
     """
     ship(labelled.sparkSession)
-    names = [r[0] for r in labelled.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_languages).collect()]
-    names = sorted(names)
+    names = sorted(r[0] for r in labelled.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().collect())
     if not names:
         return Profiles([], np.zeros((0, BUCKETS)))
     draw = F.md5(F.concat_ws("|", F.lit("profile"), F.col(id_col).cast("string")))
@@ -113,8 +114,9 @@ def identify_languages(
     language, that of the host's suffix given the language, and the host's
     prior. All three tables are counted over all rows by the language that
     the text alone suggests. The host's prior is its own counts smoothed with
-    host_weight rows of its domain's prior (the last two labels), which is
-    smoothed with domain_weight rows of the prior of all rows. The table of
+    host_weight rows of its domain's prior (the label before the public suffix
+    and the suffix), which is smoothed with domain_weight rows of the prior of
+    all rows. A host without a dot has no address suffix. The table of
     host priors is counted, and broadcast only where it has at most
     most_broadcast numbers; a larger one is joined with salted keys.
 
@@ -123,7 +125,8 @@ def identify_languages(
     A null or empty text without other evidence has the global prior. A null
     declaration or host says nothing. Repeated rows come out alike, but count
     in the priors. Without known languages all rows are "und". An empty table
-    gives no rows. Columns named like a result column are replaced.
+    gives no rows. Of languages with the same posterior the first by name
+    wins. Columns named like a result column are replaced.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -148,8 +151,8 @@ def identify_languages(
     best = F.array_position(F.col("_ll"), F.array_max("_ll")).cast("int")
     sure = scored.where("_n > 0").select("_host", "_declared", best.alias("best"))
     per_host = sure.where(F.col("_host").isNotNull()).groupBy("_host").agg(*[F.count_if(F.col("best") == i + 1).alias(f"n{i}") for i in range(size)])
-    domain = F.regexp_extract("_host", r"([^.]+\.[^.]+|[^.]+)$", 1)
-    per_host = per_host.withColumns({"_domain": domain, "_suffix": F.substring_index("_host", ".", -1)})
+    domain = F.regexp_extract("_host", rf"([^.]+\.(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}|[^.]+\.[^.]+|[^.]+)$", 1)
+    per_host = per_host.withColumns({"_domain": domain, "_suffix": F.when(F.col("_host").contains("."), F.substring_index("_host", ".", -1))})
     total = lambda p: sum((F.col(f"{p}{i}") for i in range(size)), F.lit(0.0))
 
     # Bounded by the number of languages: what all rows say, and how often each known code is declared.
@@ -167,15 +170,15 @@ def identify_languages(
     declared_log = functools.reduce(lambda c, k: F.when(code == codes[k], array(given[:, k])).otherwise(c), range(len(codes)), array(np.zeros(size)))
 
     domains = per_host.groupBy("_domain").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(size)])
-    suffixes = per_host.groupBy("_suffix").agg(*[F.sum(f"n{i}").alias(f"s{i}") for i in range(size)])
+    suffixes = per_host.where("_suffix is not null").groupBy("_suffix").agg(*[F.sum(f"n{i}").alias(f"s{i}") for i in range(size)])
     kinds = suffixes.count() + 1
-    hosts = per_host.join(domains, "_domain").join(suffixes, "_suffix")
+    hosts = per_host.join(domains, "_domain").join(suffixes, "_suffix", "left")
     prior = []
     for i in range(size):
         of_domain = (F.col(f"d{i}") + domain_weight * float(base[i])) / (total("d") + domain_weight)
         of_host = (F.col(f"n{i}") + host_weight * of_domain) / (total("n") + host_weight)
         suffix = (F.col(f"s{i}") + 0.5) / (float(seen[i]) + 0.5 * kinds) if i < size - 1 else F.lit(1 / kinds)
-        prior.append(F.log(of_host) + F.log(suffix))
+        prior.append(F.log(of_host) + F.when(F.col("_suffix").isNull(), 0.0).otherwise(F.log(suffix)))
     hosts = stored(hosts.select(F.col("_host").alias("_h"), F.array(*prior).alias("_prior")), "host-priors")
     if hosts.count() * size <= most_broadcast:
         fused = scored.join(F.broadcast(hosts), F.col("_host") == F.col("_h"), "left")

@@ -28,10 +28,13 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents (declared language: lang; host: source) and pages (html element, address) under one set of priors."""
+    """Documents (host: source) and pages (declared in the html element, host: address) under one set of priors.
+
+    lang is what the profiles are fitted on, so it is no evidence for a document.
+    """
     docs = table(spark, sf_dir, "documents")
     profiles = train_profiles(docs)
-    rows = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    rows = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.lit(None).cast("string").alias("declared"), F.col("source").alias("host"))
     pages = page_evidence(table(spark, sf_dir, "pages")).select(F.lit(None).cast("long").alias("doc_id"), "page_id", "text", "declared", "host")
     return identify_languages(rows.unionAll(pages), profiles, carry=["doc_id", "page_id"])
 

@@ -57,12 +57,65 @@ def test_evidence_beside_the_text(spark, profiles, labelled):
     assert got[4].lang_id == "en" and not got[4].rejected
 
 
-def test_posterior_is_the_product_of_its_parts(spark):
-    """With text that says nothing, the host's prior is its counts smoothed by domain and world."""
-    flat = Profiles(["a", "b"], np.zeros((2, 1 << 15)))
-    df = spark.createDataFrame([(1, "", None, None)], "doc_id long, text string, declared string, host string")
-    r = identify_languages(df, flat, carry=["doc_id"]).head()
-    assert r.rejected and abs(r.confidence - 0.4995) < 1e-6
+def plain_posteriors(rows, profiles, temper=0.2, host_weight=5.0, domain_weight=20.0, unknown_prior=1e-3):
+    """Every term by its definition, over (text, declared, host, domain, suffix) rows."""
+    names, known = profiles.languages, profiles.languages[:-1]
+    ll = [profiles.score(r[0]) for r in rows]
+    sure = [(r, int(np.argmax(s))) for r, (s, n) in zip(rows, ll, strict=True) if n]
+    count = lambda i, at=None, value=None: sum(1 for r, b in sure if b == i and (at is None or r[at] == value))
+    base = [(count(i) + 1) / sum(count(j) + 1 for j in range(len(known))) * (1 - unknown_prior) for i in range(len(known))] + [unknown_prior]
+    codes = [*known, "other"]
+    code = lambda d: d if d in known else "other"
+    kinds = len({r[4] for r, _ in sure if r[4]}) + 1
+    out = []
+    for (_, declared, host, domain, suffix), (scores, _) in zip(rows, ll, strict=True):
+        log = []
+        for i in range(len(names)):
+            x = temper * scores[i]
+            total = lambda at, value: sum(count(j, at, value) for j in range(len(names)))
+            if host and total(2, host):
+                of_domain = (count(i, 3, domain) + domain_weight * base[i]) / (total(3, domain) + domain_weight)
+                x += np.log((count(i, 2, host) + host_weight * of_domain) / (total(2, host) + host_weight))
+                if suffix:
+                    x += np.log((count(i, 4, suffix) + 0.5) / (count(i) + 0.5 * kinds) if i < len(known) else 1 / kinds)
+            else:
+                x += np.log(base[i])
+            if declared:
+                said = lambda c: sum(1 for r, b in sure if b == i and r[1] and code(r[1]) == c) + 0.5
+                x += np.log(said(code(declared)) / sum(said(c) for c in codes) if i < len(known) else 1 / len(codes))
+            log.append(x)
+        odds = np.exp(np.array(log) - max(log))
+        out.append((names[int(np.argmax(log))], round(float(odds.max() / odds.sum()), 6)))
+    return out
+
+
+def test_posterior_is_the_product_of_its_parts(spark, profiles):
+    rng = random.Random(8)
+    hosts = [("a.x.co.uk", "x.co.uk", "uk"), ("b.x.co.uk", "x.co.uk", "uk"), ("y.co.uk", "y.co.uk", "uk"), ("www.z.de", "z.de", "de"), ("z.de", "z.de", "de"), ("local", "local", None), (None, None, None)]
+    rows = []
+    for _ in range(120):
+        words = rng.choice([0, 1, 2, 30])
+        rows.append((text(rng, rng.choice(["en", "de", "fr"]), words) if words else rng.choice(["", "12 34", "xq zz"]), rng.choice([None, "en", "de", "pl"]), *rng.choice(hosts)))
+    df = spark.createDataFrame([(i, t, d, h) for i, (t, d, h, _, _) in enumerate(rows)], "doc_id long, text string, declared string, host string")
+    got = {r.doc_id: (r.lang_id, round(r.confidence, 6)) for r in identify_languages(df, profiles, carry=["doc_id"]).collect()}
+    want = plain_posteriors(rows, profiles)
+    for i, (lang, confidence) in enumerate(want):
+        assert got[i][0] == lang and abs(got[i][1] - confidence) < 1e-5, (rows[i], got[i], want[i])
+
+
+def test_every_label_is_a_language(spark):
+    rows = [(i, f"word{i % 90} " * 9, f"l{i % 90:02d}", "s") for i in range(180)]
+    many = train_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert len(many.languages) == 91
+
+
+def test_held_out_documents(spark, sf):
+    """Accuracy on rows that the profiles are not fitted on, without their label as evidence."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    profiles = train_profiles(docs.where("doc_id % 2 = 0"))
+    found = identify_languages(docs.where("doc_id % 2 = 1"), profiles, declared_col=None, host_col="source", carry=["doc_id", "lang"])
+    held = [r for r in found.where("lang IS NOT NULL AND text_lang IS NOT NULL").collect()]
+    assert sum(r.lang == r.lang_id for r in held) / len(held) > 0.97
 
 
 def test_pages_give_evidence(spark):
