@@ -14,9 +14,11 @@ from orebed.llm.sentencepiece_codec import encode_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is certain enough; lang becomes the language found."""
-    rows = docs.withColumn("_declared", F.col("lang"))
-    found = identify_languages(rows, train_profiles(docs), declared_col="_declared", host_col="source", carry=docs.columns)
+    """Keeps the documents whose language is certain enough; lang becomes the language found.
+
+    The profiles are fitted on lang, so it is no evidence for its own row.
+    """
+    found = identify_languages(docs, train_profiles(docs), declared_col=None, host_col="source", carry=docs.columns)
     return found.where("not rejected").select(*[F.col("lang_id").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 
