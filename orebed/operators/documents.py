@@ -46,17 +46,22 @@ def row_text(limit: int = 1200) -> Column:
 
 
 def clauses(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, clause, level, start, end, body): numbered clauses of each text, each as far as the next one that is not deeper."""
+    """(id, clause, level, start, end, body): numbered clauses of each text, each as far as the next one that is not deeper.
+
+    For each level that a text has, the last heading at or above it tells
+    which clause of that level a line belongs to, if any: one running value a
+    line and level, so that the work grows with lines times levels.
+    """
     lines = docs.select(id_col, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
     number = F.nullif(F.regexp_extract("line", r"^\s*([0-9]+(?:\.[0-9]+)*)\.?\s+\S", 1), F.lit(""))
-    heads = lines.withColumn("clause", number).withColumn("level", F.size(F.split("clause", r"\."))).where("clause is not null")
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    # Of the headings that follow, the first of each level; the end is the nearest one not deeper.
-    after = heads.withColumn("_next", F.collect_list(F.struct("pos", "level")).over(w))
-    ends = after.withColumn("end", F.coalesce(F.array_min(F.filter("_next", lambda x: x["level"] <= F.col("level")))["pos"], F.lit(2**31 - 1)))
-    heads = ends.select(id_col, "clause", "level", F.col("pos").alias("start"), "end")
-    body = heads.join(lines.select(F.col(id_col).alias("_id"), "pos", "line"), (F.col(id_col) == F.col("_id")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
-    return body.groupBy(id_col, "clause", "level", "start").agg(F.max("pos").alias("end"), F.array_join(F.sort_array(F.collect_list(F.struct("pos", "line")))["line"], "\n").alias("body"))
+    lines = lines.withColumn("clause", number).withColumn("level", F.when(F.col("clause").isNotNull(), F.size(F.split("clause", r"\."))))
+    deepest = F.max("level").over(Window.partitionBy(id_col))
+    each = lines.withColumn("_deepest", deepest).where("_deepest is not null").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_deepest"))))
+    so_far = Window.partitionBy(id_col, "_k").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.when(F.col("level") <= F.col("_k"), F.struct("level", "clause", F.col("pos").alias("start")))
+    each = each.withColumn("_open", F.last(head, ignorenulls=True).over(so_far)).where("_open.level = _k")
+    body = F.array_join(F.sort_array(F.collect_list(F.struct("pos", "line")))["line"], "\n")
+    return each.groupBy(id_col, "_open").agg(F.max("pos").alias("end"), body.alias("body")).select(id_col, "_open.clause", "_open.level", "_open.start", "end", "body")
 
 
 @F.pandas_udf(DoubleType())

@@ -25,15 +25,16 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.node").agg(F.sum("e.o").alias("n_out"), F.sum("e.i").alias("n_in"), F.sum("e.weight").alias("weight"))
 
 
-def components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFrame], DataFrame], most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) by spreading the least label, doubling steps through the label's own label.
 
     `cut` writes a round out and reads it back (a checkpoint or a table in
-    shared storage), so that the plan does not grow.
+    shared storage), so that the plan does not grow. Labels only fall, so the
+    rounds end; their number grows with the logarithm of the longest chain.
     """
     both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionAll(edges.select(F.col(b), F.col(a))).distinct())
     label = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(label.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
         spread = label.join(near, "u").select("u", F.least("l", "m").alias("l"), F.col("l").alias("was"))
         jumped = spread.join(spread.select(F.col("u").alias("l"), F.col("l").alias("ll")), "l", "left").select("u", F.least("l", F.coalesce("ll", "l")).alias("l"), "was")
@@ -41,8 +42,6 @@ def components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFrame], Data
         label = after.select("u", "l")
         if not after.where("l <> was").limit(1).count():
             break
-    else:
-        raise ValueError(f"components did not settle in {most_rounds} rounds")
     return label.select(F.col("u").alias("node"), F.col("l").alias("component"))
 
 

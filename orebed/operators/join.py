@@ -71,7 +71,7 @@ def plan_fact(plan: DataFrame, fact: DataFrame, key: str, planned: str, done: st
     j = plan.select(key, F.col(planned).alias("planned")).join(fact.select(key, F.col(done).alias("done")), key, "full")
     status = F.when(F.col("done").isNull(), "plan_only").when(F.col("planned").isNull(), "fact_only").when(F.col("done") > F.col("planned") + eps, "over").otherwise("matched")
     delta = F.coalesce("done", F.lit(0)) - F.coalesce("planned", F.lit(0))
-    return j.select(key, "planned", "done", status.alias("status"), delta.alias("delta"), F.greatest(-delta, F.lit(0)).alias("remaining"), F.round(F.col("done") * 100 / F.nullif(F.col("planned"), F.lit(0)), 1).alias("done_pct"))
+    return j.select(key, "planned", "done", status.alias("status"), delta.alias("delta"), F.greatest(F.coalesce("planned", F.lit(0)) - F.coalesce("done", F.lit(0)), F.lit(0)).alias("remaining"), F.round(F.col("done") * 100 / F.nullif(F.col("planned"), F.lit(0)), 1).alias("done_pct"))
 
 
 def containment_pairs(left: DataFrame, right: DataFrame, block: str, shortest: int = 4) -> DataFrame:

@@ -75,6 +75,30 @@ def round_robin(rankings: Sequence[DataFrame], id_col: str) -> DataFrame:
     return first.select(id_col, F.row_number().over(Window.orderBy("_at")).alias("place"))
 
 
+def phrase_hits(docs: DataFrame, id_col: str, text: str, phrases: DataFrame, case: str, phrase: str, most: int = 8) -> DataFrame:
+    """(case, id, text) of the documents that hold a phrase as a run of words; both are words parted by single spaces.
+
+    Phrases and documents meet by the hash of the phrase's first words, up to
+    `most` of them, and the whole phrase is compared then. The lengths of
+    these grams are those that phrases have, at most `most` numbers.
+    """
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    wanted = phrases.select(case, F.col(phrase).alias("_phrase"), words(F.col(phrase)).alias("_w")).where("size(_w) > 0")
+    wanted = wanted.withColumn("_n", F.least(F.size("_w"), F.lit(most))).withColumn("_gram", F.xxhash64(F.slice("_w", F.lit(1), F.col("_n"))))
+    sizes = sorted(r[0] for r in wanted.select("_n").distinct().collect())
+    split = docs.select(id_col, words(F.col(text)).alias("_w"))
+    grams = None
+    for n in sizes:
+        at = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1))
+        some = split.select(id_col, "_w", F.explode(at).alias("_i")).select(id_col, F.xxhash64(F.slice("_w", F.col("_i"), F.lit(n))).alias("_gram"), F.lit(n).alias("_n"))
+        grams = some if grams is None else grams.unionAll(some)
+    if grams is None:
+        return phrases.select(case).limit(0).join(docs.select(id_col, text), F.lit(False))
+    met = grams.join(wanted.select(case, "_phrase", "_n", "_gram"), ["_n", "_gram"]).select(case, "_phrase", id_col).distinct()
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    return met.join(docs.select(id_col, text), id_col).where(spaced(F.col(text)).contains(spaced(F.col("_phrase")))).select(case, id_col, text)
+
+
 def concentrate(hits: DataFrame, family: str, score: str, floor: float = 0.45, ratio: float = 0.8, families: int = 3) -> DataFrame:
     """Hits above the floor (or near the best one) of the families with the best hits."""
     greatest = hits.agg(F.max(score)).head()[0] or 0.0

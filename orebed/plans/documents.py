@@ -89,10 +89,10 @@ def evidence_packets(spark, sf):
     return out.withColumn("value", F.col("value").cast("double"))
 
 
-@query("""SELECT p_name AS k, CAST(len(list(DISTINCT p_type)) AS INT) AS n_options, CASE WHEN count(DISTINCT p_type) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) ELSE '' END AS rule FROM part WHERE p_size < 5 GROUP BY 1""")
+@query("""SELECT p_name AS k, CAST(len(list(DISTINCT p_type)) AS INT) AS n_options, CASE WHEN count(DISTINCT p_type) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) ELSE '' END AS rule FROM part GROUP BY 1""")
 def norm_candidates(spark, sf):
     """JOI17, JOI21: resolved only with exactly one candidate."""
-    return documents.rules_of(table(spark, sf, "part").where("p_size < 5").withColumnRenamed("p_name", "k"), "k", "p_type")
+    return documents.rules_of(table(spark, sf, "part").withColumnRenamed("p_name", "k"), "k", "p_type")
 
 
 @query("""SELECT event_id, key, value FROM (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events) x, LATERAL (SELECT json_extract_string(props, '$.' || key) AS value)""")
@@ -101,13 +101,13 @@ def json_properties(spark, sf):
     return documents.flatten_json(table(spark, sf, "events"), "event_id", "props")
 
 
-@query("""SELECT role AS scope, lower(trim(regexp_replace(substr(text, 1, 30), '\\s+', ' ', 'g'))) AS question, arg_max(conv_id, conv_id * 1000 + turn) AS answer, count(*) AS n FROM conversations WHERE turn < 4 GROUP BY 1, 2""")
+@query("""SELECT role AS scope, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS question, arg_max(conv_id, conv_id * 1000 + turn) AS answer, count(*) AS n FROM conversations GROUP BY 1, 2""")
 def answer_cache(spark, sf):
-    """TXT18, TXT19: the newest fresh answer of an equal question."""
+    """TXT18: the newest answer of an equal question; without times, every answer is fresh."""
     from ..functions.text import name_key
 
     c = table(spark, sf, "conversations").select(F.col("role").alias("scope"), "text", "turn", F.col("conv_id").alias("answer"), (F.col("conv_id") * 1000 + F.col("turn")).alias("o"))
-    return documents.answers_from_cache(c, name_key(F.substring("text", 1, 30)), "scope", F.col("turn") < 4, "o")
+    return documents.answers_from_cache(c, name_key(F.col("text")), "scope", F.lit(True), "o")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'whitespace_case' WHEN o_orderkey % 4 = 1 THEN 'empty_pred' WHEN o_orderkey % 4 = 2 THEN 'numeric_value' END AS error FROM orders""")
@@ -128,9 +128,14 @@ def root_match(spark, sf):
     return documents.longest_root(p, "path", roots, "r").select("page_id", "root")
 
 
-@query("""SELECT b.item_id, count(d.doc_id) AS n, count(d.doc_id) >= 1 AS enough, coalesce(max((contains(lower(d.text), lower(substr(b.text, 1, 40))))::INT), 0) = 1 AS found FROM benchmark b LEFT JOIN documents d ON d.doc_id % 40 = b.item_id GROUP BY 1""")
+@query("""WITH b AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM benchmark), d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents)
+SELECT b.item_id, count(d.doc_id) AS n, count(d.doc_id) >= 1 AS enough, count(d.doc_id) >= 1 AS found FROM b LEFT JOIN d ON b.t <> '' AND contains(' ' || d.t || ' ', ' ' || b.t || ' ') GROUP BY 1""")
 def golden_cases(spark, sf):
-    """EVL06: cases whose passage must be found in a hit."""
-    b = table(spark, sf, "benchmark").select("item_id", F.array(F.substring("text", 1, 40)).alias("must_find"))
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("item_id"), F.col("text").alias("content"))
-    return documents.golden_cases(b, d, "item_id", 1)
+    """EVL06: cases whose whole passage must be found by a search over all documents."""
+    from ..functions.text import name_key
+    from ..operators.retrieval import phrase_hits
+
+    b = table(spark, sf, "benchmark").select("item_id", name_key(F.col("text")).alias("must_find"))
+    d = table(spark, sf, "documents").select("doc_id", name_key(F.col("text")).alias("content"))
+    hits = phrase_hits(d, "doc_id", "content", b, "item_id", "must_find").select("item_id", "content")
+    return documents.golden_cases(b.withColumn("must_find", F.array("must_find")), hits, "item_id", 1)

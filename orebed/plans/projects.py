@@ -30,10 +30,10 @@ def shown_numbers(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", numbers.shown_number(F.col("o_totalprice")).alias("shown"))
 
 
-@query("""SELECT conv_id, turn, lower(trim(regexp_replace(substr(text, 1, 50), '\\s+', ' ', 'g'))) AS subject FROM conversations""")
+@query("""SELECT conv_id, turn, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS subject FROM conversations""")
 def mail_subjects(spark, sf):
     """PRJ19: subjects without any number of reply prefixes."""
-    subject = F.concat(F.lit("RE: Fwd: re[2]: "), F.substring("text", 1, 50))
+    subject = F.concat(F.lit("RE: Fwd: re[2]: "), F.col("text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", text.subject_key(subject).alias("subject"))
 
 
@@ -125,7 +125,7 @@ def current_revisions(spark, sf):
     return o.join(latest, (F.col("o_custkey") == F.col("k")) & (F.col("o_orderdate") == F.col("rev"))).select("o_orderkey", "o_custkey")
 
 
-CLUSTERS = """WITH RECURSIVE n AS (SELECT DISTINCT p_brand AS u, p_name AS name FROM part WHERE p_size <= 25 UNION SELECT DISTINCT p_brand, split_part(p_name, ' ', 2) FROM part WHERE p_size > 45),
+CLUSTERS = """WITH RECURSIVE n AS (SELECT DISTINCT p_brand AS u, p_name AS name FROM part UNION SELECT DISTINCT p_brand, split_part(p_name, ' ', 2) FROM part),
 e AS (SELECT a.u, a.name AS x, b.name AS y FROM n a JOIN n b ON a.u = b.u AND (a.name = b.name OR least(length(a.name), length(b.name)) >= 4 AND (contains(a.name, b.name) OR contains(b.name, a.name)))),
 r AS (SELECT u, x, y FROM e UNION SELECT r.u, r.x, e.y FROM r JOIN e ON r.u = e.u AND r.y = e.x) SELECT u, x AS name, min(y) AS cluster FROM r GROUP BY 1, 2"""
 
@@ -134,7 +134,7 @@ r AS (SELECT u, x, y FROM e UNION SELECT r.u, r.x, e.y FROM r JOIN e ON r.u = e.
 def name_clusters(spark, sf):
     """JOI09: names of one unit that contain each other, as connected components: the result does not hang on the order of rows."""
     p = table(spark, sf, "part")
-    n = p.where("p_size <= 25").select(F.col("p_brand").alias("u"), F.col("p_name").alias("name")).union(p.where("p_size > 45").select("p_brand", F.split_part("p_name", F.lit(" "), F.lit(2)))).distinct()
+    n = p.select(F.col("p_brand").alias("u"), F.col("p_name").alias("name")).union(p.select("p_brand", F.split_part("p_name", F.lit(" "), F.lit(2)))).distinct()
     pairs = join.containment_pairs(n, n, "u").select(F.concat_ws("\u0001", "u", "left").alias("a"), F.concat_ws("\u0001", "u", "right").alias("b"))
     c = graph.components(pairs, "a", "b", checkpointed)
     part = lambda c, i: F.split_part(c, F.lit("\u0001"), F.lit(i))
@@ -153,21 +153,21 @@ def file_map_statistics(spark, sf):
     return table(spark, sf, "pages").groupBy(F.regexp_extract("url", r"\.([a-z]+)(?:[/:?#]|$)", 1).alias("extension"), F.regexp_extract("url", "//([^/?#]*)", 1).alias("parent")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("html")).alias("size"))
 
 
-@query("""SELECT k, doc_id, value FROM (SELECT lower(substr(text, 1, 60)) AS k, doc_id, n_chars AS value, row_number() OVER (PARTITION BY lower(substr(text, 1, 60)) ORDER BY doc_id) AS rn FROM documents WHERE n_chars > 500) WHERE rn = 1""")
+@query("""SELECT sha256(lower(text)) AS k, min(doc_id) AS doc_id, arg_min(n_chars, doc_id) AS value FROM documents GROUP BY lower(text)""")
 def indicators(spark, sf):
-    """AGG25: numbered rows, the first of equal beginnings."""
-    rows = table(spark, sf, "documents").where("n_chars > 500").select(F.lower(F.substring("text", 1, 60)).alias("k"), "doc_id", F.col("n_chars").alias("value"))
+    """AGG25: numbered rows, the first of equal ones."""
+    rows = table(spark, sf, "documents").select(F.sha2(F.lower("text"), 256).alias("k"), "doc_id", F.col("n_chars").alias("value"))
     return join.first_wins(rows, "k", [F.col("doc_id")])
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split('1 Start' || chr(10) || replace(text, '. ', chr(10) || '1.1 Part' || chr(10)), chr(10)) AS ls FROM documents WHERE n_chars < 3000)),
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split('1 Start' || chr(10) || replace(text, '. ', chr(10) || '1.1 Part' || chr(10)), chr(10)) AS ls FROM documents)),
 h AS (SELECT *, regexp_extract(line, '^\\s*([0-9]+(?:\\.[0-9]+)*)\\.?\\s+\\S', 1) AS clause FROM l), c AS (SELECT *, len(string_split(clause, '.')) AS level FROM h WHERE clause <> ''),
 e AS (SELECT a.doc_id, a.pos AS start, a.clause, coalesce(min(b.pos), 2147483647) AS stop FROM c a LEFT JOIN c b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.level <= a.level GROUP BY 1, 2, 3)
 SELECT e.doc_id, e.clause, e.start, max(l.pos) AS last, sum(length(l.line))::BIGINT AS chars FROM e JOIN l ON l.doc_id = e.doc_id AND l.pos >= e.start AND l.pos < e.stop GROUP BY 1, 2, 3""")
 def clause_segments(spark, sf):
     """WIN08, TXT23: clauses as far as the next heading that is not deeper."""
     marked = F.concat(F.lit("1 Start\n"), F.replace(F.col("text"), F.lit(". "), F.lit("\n1.1 Part\n")))
-    docs = table(spark, sf, "documents").where("n_chars < 3000").select("doc_id", marked.alias("text"))
+    docs = table(spark, sf, "documents").select("doc_id", marked.alias("text"))
     c = documents.clauses(docs, "doc_id", "text")
     return c.select("doc_id", "clause", "start", F.col("end").alias("last"), F.length(F.replace(F.col("body"), F.lit("\n"), F.lit(""))).cast("long").alias("chars"))
 
@@ -219,10 +219,10 @@ def coefficients(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", d(price("l_quantity") * k).alias("adjusted"))
 
 
-@query("""WITH b AS (SELECT l_orderkey AS k, l_linenumber AS line, l_quantity AS qty FROM lineitem WHERE l_linenumber <= 3), r AS (SELECT k, line, CASE WHEN line = 1 THEN qty * 2 ELSE qty END AS qty FROM b WHERE line <> 3 UNION ALL SELECT DISTINCT k, 9, 1.0 FROM b) SELECT k, line, qty FROM r""")
+@query("""WITH b AS (SELECT l_orderkey AS k, l_linenumber AS line, l_quantity AS qty FROM lineitem), r AS (SELECT k, line, CASE WHEN line = 1 THEN qty * 2 ELSE qty END AS qty FROM b WHERE line <> 3 UNION ALL SELECT DISTINCT k, 9, 1.0 FROM b) SELECT k, line, qty FROM r""")
 def resource_bindings(spark, sf):
     """CST04, JOI07: replace one resource, leave one out, add one."""
-    b = table(spark, sf, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"))
+    b = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"))
     replaced = b.where("line <> 3").withColumn("qty", F.when(F.col("line") == 1, F.col("qty") * 2).otherwise(F.col("qty")))
     return replaced.unionByName(b.select("k").distinct().select("k", F.lit(9).alias("line"), F.lit(1.0).alias("qty")))
 
@@ -263,21 +263,21 @@ def document_review(spark, sf):
     return j.select("doc_id", F.coalesce("toxic", F.lit(-1)).alias("decided"), status.alias("status"))
 
 
-@query("""WITH t AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source, substr(text, 1, 40)) AS n FROM documents) SELECT doc_id FROM t WHERE rn = 1 AND n = 1""")
+@query("""WITH t AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source, text) AS n FROM documents) SELECT doc_id FROM t WHERE rn = 1 AND n = 1""")
 def unique_chunks(spark, sf):
     """SNK03, O10: texts that no other row repeats need new vectors."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"), F.substring("text", 1, 40).alias("s"))
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
     first = docs.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    alone = docs.groupBy("source", "s").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    alone = docs.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
     return first.join(alone, "doc_id").select("doc_id")
 
 
-@query("""SELECT doc_id, CASE WHEN lang = 'de' THEN 'de' ELSE 'other' END AS k, regexp_replace(replace(replace(text, '<br>', ' '), '<br/>', ' '), '\\n{3,}', chr(10) || chr(10), 'g') AS clean FROM documents WHERE n_chars < 2000""")
+@query("""SELECT doc_id, CASE WHEN lang = 'de' THEN 'de' ELSE 'other' END AS k, regexp_replace(replace(replace(text, '<br>', ' '), '<br/>', ' '), '\\n{3,}', chr(10) || chr(10), 'g') AS clean FROM documents""")
 def clean_texts(spark, sf):
     """PRJ15, PRJ16: markup and payloads out of texts, broken encodings repaired."""
     from ..functions.text import repaired, without_markup
 
-    docs = table(spark, sf, "documents").where("n_chars < 2000")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.when(F.col("lang") == "de", "de").otherwise("other").alias("k"), without_markup(repaired(F.col("text"))).alias("clean"))
 
 
@@ -324,13 +324,13 @@ def structured_extraction(spark, sf):
     return table(spark, sf, "events").select("event_id", valid_json(said, "k bigint")["k"].alias("k"))
 
 
-@query("""SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)) GROUP BY 1""")
+@query("""SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) GROUP BY 1""")
 def sidecar_index(spark, sf):
     """TXT30, SET08: an append-only index takes only what it lacks."""
     from ..operators.retrieval import sidecar
 
     docs = table(spark, sf, "documents").select("doc_id")
-    return sidecar(docs.where("doc_id % 3 <> 0"), docs, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return sidecar(table(spark, sf, "labels").select("doc_id"), docs, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS extra FROM orders""")

@@ -49,11 +49,11 @@ def neighbour_window(spark, sf):
     return window.window_of(table(spark, sf, "conversations"), "conv_id", "turn", "text", 2).select("conv_id", "turn", "window_n", "window_chars")
 
 
-@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN substr(text, 1, 40) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS heading, role <> 'user' AS heading_inherited FROM conversations""")
+@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS heading, role <> 'user' AS heading_inherited FROM conversations""")
 def heading_ffill(spark, sf):
     """WIN04, WIN05: the last heading carried on."""
     c = table(spark, sf, "conversations")
-    return window.carried(c, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.substring("text", 1, 40)), "heading").select("conv_id", "turn", "heading", "heading_inherited")
+    return window.carried(c, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("text")), "heading").select("conv_id", "turn", "heading", "heading_inherited")
 
 
 @query("""SELECT conv_id, turn, turn // 4 AS parent_ord, turn % 4 AS child_ord, substr(sha256(conv_id || '|' || (turn // 4)), 1, 24) AS parent_id FROM conversations""")
@@ -74,10 +74,10 @@ def dup_clusters(spark, sf):
     return sets.duplicate_clusters(docs_of(spark, sf), "text", "source")
 
 
-@query("""SELECT lower(trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g'))) AS k, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1""")
+@query("""SELECT sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS k, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1""")
 def identity_dedup(spark, sf):
     """SET03, SET08: the first row of each identity."""
-    return docs_of(spark, sf).groupBy(T.name_key(F.substring("text", 1, 200)).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    return docs_of(spark, sf).groupBy(F.sha2(T.name_key(F.col("text")), 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, {TOK.format("text")} AS l FROM documents) SELECT term, doc_id, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, len(l) AS len, unnest(l) AS term FROM t) GROUP BY 1, 2""")

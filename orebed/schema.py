@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-#: Field names of the standard row, in order.
-TEXT_FIELDS = ["doc_type", "doc_title", "source_file", "pos", "section", "subsection", "name", "code", "mark", "unit", "work_name", "norms_refs", "materials_used", "date_start", "date_end", "position", "designation", "note", "raw_row", "extractor"]
-NUMBER_FIELDS = ["qty", "qty_per_unit", "price", "amount", "amount_mat", "amount_work", "work_volume", "work_done", "work_since_start", "weight_unit", "weight_total"]
+#: The fields of the standard row with their types, in order.
+FIELDS = [
+    ("doc_type", "string"), ("doc_title", "string"), ("source_file", "string"),
+    ("pos", "string"), ("section", "string"), ("subsection", "string"),
+    ("name", "string"), ("code", "string"), ("mark", "string"),
+    ("unit", "string"), ("qty", "double"), ("qty_per_unit", "double"),
+    ("price", "double"), ("amount", "double"), ("amount_mat", "double"), ("amount_work", "double"),
+    ("work_volume", "double"), ("work_done", "double"), ("work_since_start", "double"),
+    ("work_name", "string"), ("norms_refs", "string"), ("materials_used", "string"), ("date_start", "string"), ("date_end", "string"),
+    ("position", "string"), ("designation", "string"), ("weight_unit", "double"), ("weight_total", "double"),
+    ("note", "string"), ("raw_row", "string"), ("source_page", "int"), ("table_index", "int"), ("needs_ocr", "boolean"), ("extractor", "string"),
+]
+TEXT_FIELDS = [name for name, kind in FIELDS if kind == "string"]
+NUMBER_FIELDS = [name for name, kind in FIELDS if kind == "double"]
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
 
-STANDARD_ROW = T.StructType(
-    [T.StructField(n, T.StringType()) for n in TEXT_FIELDS]
-    + [T.StructField(n, T.DoubleType()) for n in NUMBER_FIELDS]
-    + [T.StructField("source_page", T.IntegerType()), T.StructField("table_index", T.IntegerType()), T.StructField("needs_ocr", T.BooleanType())]
-)
+STANDARD_ROW = T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in FIELDS])
 
 #: Document types.
 DOC_TYPES = ["KS2", "AOSR", "SPEC", "VEDOMOST", "SMETA", "TABLE"]

@@ -2,29 +2,48 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def promote(spark: SparkSession, root: str, version: str, expected: int) -> None:
-    """Makes a version the current one, if it holds as many rows as expected: the pointer is one small file, renamed into place."""
+    """Makes a version the current one, if it holds as many rows as expected.
+
+    The pointer is a small numbered file that is written under another name
+    and renamed to a name that nobody had: readers take the one with the
+    highest number, so they see the old version or the new one at any time,
+    and a crash between leaves the old one. Of two writers at once one fails.
+    """
     found = spark.read.parquet(f"{root}/{version}").count()
     if found != expected:
         raise ValueError(f"version {version} has {found} rows, not {expected}")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    fs = path("current.txt").getFileSystem(conf)
-    out = fs.create(path("current.txt.next"), True)
+    path, fs = _paths(spark, root)
+    number = max(_pointers(spark, root), default=0) + 1
+    written = path(f"_next.{uuid.uuid4().hex}")
+    out = fs.create(written, False)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(path("current.txt"), False)
-    if not fs.rename(path("current.txt.next"), path("current.txt")):
-        raise OSError(f"could not rename the pointer of {root}")
+    if fs.exists(path(f"current.{number}")) or not fs.rename(written, path(f"current.{number}")):
+        raise OSError(f"another version of {root} was promoted at the same time")
+
+
+def _paths(spark: SparkSession, root: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{root}/{name}" if name else root)
+    return path, path("").getFileSystem(conf)
+
+
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    path, fs = _paths(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(path(""))]
+    return [int(n.removeprefix("current.")) for n in names if n.startswith("current.") and n.removeprefix("current.").isdigit()]
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The promoted version."""
-    version = spark.read.text(f"{root}/current.txt").head()[0]
+    version = spark.read.text(f"{root}/current.{max(_pointers(spark, root))}").head()[0]
     return spark.read.option("mergeSchema", "true").parquet(f"{root}/{version}")
 
 

@@ -58,7 +58,9 @@ def upsert(target: str, keys: list[str], order: str):
     """A foreachBatch function: keeps the latest row of each key in a folder of numbered versions.
 
     A version is a whole table written under its batch number, so a batch that
-    runs again overwrites its own version and nothing else.
+    runs again overwrites its own version and nothing else. The version before
+    stays for readers and for a repeated batch; older ones are deleted. Each
+    batch writes the whole table: this is for state tables of moderate size.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -68,6 +70,8 @@ def upsert(target: str, keys: list[str], order: str):
         if number > 0:
             rows = spark.read.schema(batch.schema).parquet(f"{target}/v{number - 1}").unionByName(batch)
         rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, "_r.*").write.mode("overwrite").parquet(f"{target}/v{number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v{number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
 

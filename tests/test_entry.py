@@ -26,6 +26,19 @@ def test_entry_imports_without_the_corpus_operators(tmp_path):
     assert not [n for n in eval(said.stdout) if n[2:3].isdigit() or n == "pipeline"]
 
 
+def test_entry_imports_where_only_the_subpackage_is_gone(tmp_path):
+    """The pipeline's file alone may stay behind, or a library that the corpus operators need may be missing."""
+    (tmp_path / "orebed").mkdir()
+    for p in (ROOT / "orebed").iterdir():
+        if p.name not in ("llm", "__pycache__"):
+            (tmp_path / "orebed" / p.name).symlink_to(p)
+    for p in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (ROOT / p).exists():
+            (tmp_path / p).symlink_to(ROOT / p)
+    said = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0 and int(said.stdout) > 90, said.stderr
+
+
 def test_flagship(spark):
     import __spark_entry__
 

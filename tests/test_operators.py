@@ -111,6 +111,26 @@ def test_graph(spark):
     assert [r[0] for r in states.select(graph.allowed_transition(F.col("a"), F.col("b"))).collect()] == [True, True, False, False, True]
 
 
+def test_components_against_union_find(spark):
+    """Chains, stars and random edges; the chain needs more rounds than its logarithm only if steps did not double."""
+    import random
+
+    draw = random.Random(2)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 80)] + [(draw.randint(2000, 2200), draw.randint(2000, 2200)) for _ in range(120)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b", checkpointed).collect()}
+    assert got == {x: find(x) for x in parent}
+
+
 def test_cost(spark):
     df = spark.createDataFrame([("p", 100.0, 50.0, 20.0, 10.0)], "k string, w double, m double, mm double, t double")
     r = cost.position_totals(df, ["k"], F.col("w"), F.col("m"), F.col("mm"), F.col("t"), 95.5, 48).head()

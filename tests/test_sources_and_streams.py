@@ -24,7 +24,7 @@ def test_standard_tables(spark, tmp_path):
     files.write_standard(rows, f"{tmp_path}/d1/_parquet/t.parquet")
     got = files.standard_tables(spark, str(tmp_path), ["d1", "missing", "d1"]).collect()
     assert len(got) == 1 and got[0].qty is None and got[0].amount == 3.5 and got[0].dataset_id == "d1" and got[0].section == ""
-    assert len(STANDARD_ROW) == 34
+    assert len(STANDARD_ROW) == 34 and STANDARD_ROW.names[:3] == ["doc_type", "doc_title", "source_file"] and STANDARD_ROW.names[9:13] == ["unit", "qty", "qty_per_unit", "price"] and STANDARD_ROW.names[-4:] == ["source_page", "table_index", "needs_ocr", "extractor"]
 
 
 def test_csv_of_any_encoding(spark, tmp_path):
