@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, slices, stored, text_of
@@ -23,13 +24,12 @@ def signatures(texts: DataFrame, n: int, bands: int, rows: int, seed: int) -> Da
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(bands, rows, seed)
         for batch in slices(batches):
-            signed, size = [], []
+            signed = []
             for text in batch.column(2).to_pylist():
                 h = shingle_hashes(text, n)
                 signed.append(minhash.band_hashes(h) if len(h) else None)
-                size.append(len(text))
             out = pa.array(signed, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), out], ["id", "node", "bytes", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.binary_length(batch.column(2)).cast(pa.int64()), out], ["id", "node", "bytes", "bands"])
 
     kind = texts.schema["id"].dataType.simpleString()
     return texts.mapInArrow(sign, f"id {kind}, node string, bytes bigint, bands array<bigint>")
@@ -120,6 +120,48 @@ def _near_leader(rows: DataFrame, n: int, threshold: float) -> DataFrame:
     return rows.mapInArrow(near, "node string, close boolean")
 
 
+def narrowed(members: DataFrame, close: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(node, sub): the parts into which a component (component, node, text) falls when texts must share a prefix shingle.
+
+    With the shingles of a component in one order, rarest first, two texts of
+    the similarity t share one of the first size - ceil(t size) + 1 of the
+    larger text, which is one of the first size - ceil(2 t / (1 + t) size) + 1
+    of the smaller one. Texts that have a shingle in their longer beginning
+    meet by way of the least one that has it in its shorter beginning, if any
+    has, as in a band; the close ones are in one part anyway.
+    Texts that only have frequent words in common, such as a long form around
+    contents of their own, fall apart and are compared with none; a text
+    that is left alone has no row.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t, n) for t in batch.column(2).to_pylist()]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            at = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(sizes, sizes)), pa.array(flat.view(np.int64))], ["component", "node", "size", "shingle"])
+
+    tokens = stored(members.select("component", "node", "text").mapInArrow(explode, "component string, node string, size bigint, shingle bigint"), "shingles")
+    # A shingle of one text takes a place in its prefix, but nobody meets there.
+    often = tokens.groupBy("component", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = Window.partitionBy("node")
+    ranked = tokens.join(often, ["component", "shingle"]).withColumn("rank", F.row_number().over(own.orderBy("n", "shingle"))).withColumn("shared", F.count(F.lit(1)).over(own))
+    place = F.col("rank") + F.col("size") - F.col("shared")
+    first = lambda share: place <= F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1
+    heads = stored(ranked.where(first(threshold)).select("component", "shingle", "node", first(2 * threshold / (1 + threshold)).alias("short")), "prefixes")
+    stars = heads.where("short").groupBy("component", "shingle").agg(F.min("node").alias("first"))
+    edges = heads.join(stars, ["component", "shingle"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    near = members.join(close, "node").where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return connected_components(edges.unionAll(near)).withColumnRenamed("component", "sub")
+
+
+def blocks_of(sized: DataFrame, component: str) -> DataFrame:
+    """(component, blocks) of rows (component, node, bytes): how many blocks of about BLOCK_TEXTS and BLOCK_BYTES they fill."""
+    sized = sized.groupBy(component).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"))
+    return sized.select(component, F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("total") / BLOCK_BYTES)).cast("int").alias("blocks"))
+
+
 def ngram_jaccard_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -130,13 +172,14 @@ def ngram_jaccard_join(
     most_hashes: int = 160,
     seed: int = 1,
 ) -> DataFrame:
-    """One row per input row: id, class_id, n_links, n_copies, text_md5.
+    """One row per input row: id, class_id, n_links, n_copies, text_md5, class_md5.
 
     Two texts are linked when the Jaccard similarity of their sets of n-word
     shingles (\\w+, lower case) is at least `threshold`. class_id is the least
     id of all rows whose texts are connected by links; n_links counts the
     other texts (not their copies) linked to the row's text; n_copies counts
-    the rows with the same text. A text of fewer than n words is one shingle.
+    the rows with the same text; class_md5 is the least text of the class, and
+    tells classes apart whose ids repeat. A text of fewer than n words is one shingle.
     A null text counts as empty, and empty texts link to nothing but are
     copies of each other. Null ids count as the largest; a class whose ids
     are all null has a null class_id. Repeated rows are copies. An empty table
@@ -150,7 +193,9 @@ def ngram_jaccard_join(
     for each pair. In components of more than one block, texts within half
     the allowed distance of the component's first text are linked to each
     other by the triangle inequality without comparison, so a great group of
-    close copies costs one comparison each.
+    close copies costs one comparison each; and the component falls into
+    parts whose texts share a rare shingle (see `narrowed`), so that texts
+    which a band has put together by frequent words are not compared.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -164,13 +209,16 @@ def ngram_jaccard_join(
     edges = banded.join(stars, "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     candidates = connected_components(edges)
 
-    sized = nodes.join(candidates, "node").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"))
-    sized = sized.select("component", F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("total") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    members = candidates.join(sized, "component")
+    members = candidates.join(blocks_of(nodes.join(candidates, "node"), "component"), "component")
     members = stored(texts.join(members, "node").groupBy("node", "component", "blocks", "text").agg(F.count(F.lit(1)).alias("copies")), "members")
 
     leaders = members.where("blocks > 1 and node = component").select("component", F.col("text").alias("lead_text"))
     close = stored(_near_leader(members.where("blocks > 1").join(leaders, "component").select("node", "text", "lead_text"), n, threshold).where("close").select("node"), "close")
+    large = members.where("blocks > 1")
+    if large.limit(1).count():
+        parts = narrowed(large, close, n, threshold).withColumnRenamed("sub", "component")
+        parts = stored(parts.join(blocks_of(parts.join(nodes, "node"), "component"), "component"), "parts")
+        members = members.where("blocks = 1").unionByName(members.drop("component", "blocks").join(parts, "node"))
     split = members.join(close.withColumn("close", F.lit(True)), "node", "left").withColumn("close", F.coalesce("close", F.lit(False)))
     counts = split.groupBy("component").agg(F.count_if("close").alias("n_close"), F.count_if(~F.col("close")).alias("n_far"))
     split = split.join(counts, "component")
@@ -195,8 +243,8 @@ def ngram_jaccard_join(
     copies = signed.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
     named = copies.join(classes, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least").alias("class_id"))
-    named = named.join(ids, "component").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    return signed.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies", F.col("node").alias("text_md5"))
+    named = named.join(ids, "component").select("node", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies", F.col("component").alias("class_md5"))
+    return signed.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies", F.col("node").alias("text_md5"), "class_md5")
 
 
 def split_close(close: DataFrame, members: DataFrame) -> DataFrame:
@@ -211,9 +259,8 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Columns stay as they are. Rows that repeat the kept id and text come out once.
     """
     classes = ngram_jaccard_join(docs, id_col, text_col, **options)
-    group = F.coalesce(F.col("class_id").cast("string"), F.col("text_md5"))
     first = F.min_by(F.struct(F.col(id_col).alias("__kept_id"), F.col("text_md5").alias("__kept_md5")), F.struct(F.col(id_col).isNull(), id_col, "text_md5"))
-    best = classes.groupBy(group.alias("__class")).agg(first.alias("__best")).select("__best.*")
+    best = classes.groupBy("class_md5").agg(first.alias("__best")).select("__best.*")
     keyed = docs.withColumn("__md5", F.md5(text_of(text_col)))
     kept = keyed.join(best, F.col(id_col).eqNullSafe(F.col("__kept_id")) & (F.col("__md5") == F.col("__kept_md5")), "left_semi")
     return kept.dropDuplicates([id_col, "__md5"]).select(*[F.col(f"`{c}`") for c in docs.columns])

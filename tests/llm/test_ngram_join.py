@@ -86,6 +86,24 @@ def test_components_of_many_blocks(spark, monkeypatch):
     same(spark, cases(random.Random(2), families=8, hot=60))
 
 
+def test_long_forms_around_own_contents_are_not_compared(spark, monkeypatch):
+    """Three quarters in common bring texts together in bands; sharing no rare shingle they fall apart again."""
+    monkeypatch.setattr(nj, "BLOCK_TEXTS", 40)
+    form = [f"form{i}" for i in range(120)]
+    rows = [(i, " ".join([*form, *(f"own{i}x{j}" for j in range(25))])) for i in range(300)]
+    rows += [(1000, rows[7][1] + " more"), (1001, rows[7][1] + " still more")]
+    texts = spark.createDataFrame([("c", hashlib.md5(t.encode()).hexdigest(), t) for _, t in rows], "component string, node string, text string")
+    parts = nj.narrowed(texts, texts.where("false").select("node"), 5, 0.8).collect()
+    assert len(parts) == 3 and len({r.sub for r in parts}) == 1
+    got = nj.ngram_jaccard_join(frame(spark, rows)).where("n_links > 0").collect()
+    assert sorted(r.doc_id for r in got) == [7, 1000, 1001] and {r.n_links for r in got} == {2}
+
+
+def test_ids_that_repeat_do_not_join_classes(spark):
+    rows = [(1, "one text of its own with some words"), (1, "quite another text that has other words"), (2, "one text of its own with some words")]
+    assert nj.one_of_each_class(frame(spark, rows)).count() == 2
+
+
 def test_one_of_each_class(spark):
     rows = cases(random.Random(4), families=10)
     want = brute(rows)
