@@ -142,3 +142,12 @@ def shared_properties(df: DataFrame, by: Sequence[str], columns: Sequence[str])
 def status_counts(df: DataFrame, by: str, status: str, kinds: Sequence[str]) -> DataFrame:
     """Rows in all and of each status, by group."""
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(status) == k).alias(k.lower()) for k in kinds])
+
+
+def subject_totals(rows: DataFrame, name: str, subjects: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """(subject, field, total, rows) over all rows whose name has the subject: the first of the fields that the subject has values in."""
+    told = F.array(*[F.when(F.col(name).contains(s), F.lit(s)) for s in subjects])
+    each = rows.withColumn("subject", F.explode(F.filter(told, lambda s: s.isNotNull())))
+    sums = each.groupBy("subject").agg(*[F.sum(f).alias(f) for f in fields], F.count(F.lit(1)).alias("rows"))
+    field = F.coalesce(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields], F.lit(fields[-1]))
+    return sums.select("subject", field.alias("field"), F.coalesce(*fields).alias("total"), "rows")

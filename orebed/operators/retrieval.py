@@ -39,6 +39,29 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: Sequence[str], k1: floa
     return scored.select(id_col, score.alias("score"))
 
 
+def fielded_bm25(docs: DataFrame, id_col: str, fields: dict[str, float], query: Sequence[str], k1: float = 1.2, b: float = 0.75, tokenise=tokens) -> DataFrame:
+    """(id, tier, score) of the rows with any of the terms: the weighted sum of each column's BM25; tier "all" has every term in some column.
+
+    Lengths, frequencies and the number of rows are one row of sums over all rows.
+    """
+    t = docs.select(id_col, *[tokenise(F.col(f)).alias(f) for f in fields])
+    cells = [(f, i, q) for f in fields for i, q in enumerate(query)]
+    counted = t.select(id_col, *[F.size(f).alias(f"len_{f}") for f in fields], *[(F.size(f) - F.size(F.array_remove(f, q))).alias(f"tf_{f}_{i}") for f, i, q in cells])
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"len_{f}").alias(f"mean_{f}") for f in fields], *[F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f, i, _ in cells]).head()
+    score = F.lit(0.0)
+    for f, i, _ in cells:
+        tf, df, n = F.col(f"tf_{f}_{i}"), stats[f"df_{f}_{i}"], stats["n"]
+        score = score + fields[f] * math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col(f"len_{f}") / float(stats[f"mean_{f}"] or 1)))
+    has = [" or ".join(f"tf_{f}_{i} > 0" for f in fields) for i in range(len(query))]
+    every = F.expr(" and ".join(f"({h})" for h in has))
+    return counted.where(" or ".join(has)).select(id_col, F.when(every, "all").otherwise("any").alias("tier"), score.alias("score"))
+
+
+def hydrated(hits: DataFrame, contents: DataFrame, id_col: str) -> DataFrame:
+    """Hits with the contents of their ids; a hit without contents goes."""
+    return hits.join(contents, id_col)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -65,6 +88,11 @@ def fuse(rankings: Sequence[tuple[str, float, DataFrame]], id_col: str, k: int =
     return every.groupBy(id_col).agg(F.sum("_w").alias("score"), F.countDistinct("_from").alias("n_rankings"))
 
 
+def ranked(top: DataFrame, order: Sequence, name: str) -> DataFrame:
+    """A bounded list of hits with its ranks: the window has no key, so only a top-k belongs here."""
+    return top.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+
+
 def round_robin(rankings: Sequence[DataFrame], id_col: str) -> DataFrame:
     """Rank 1 of every ranking, then rank 2 and so on; a row that comes again keeps its first place."""
     every = None
