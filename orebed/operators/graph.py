@@ -45,6 +45,24 @@ def components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFrame], Data
     return label.select(F.col("u").alias("node"), F.col("l").alias("component"))
 
 
+def touching(boxes: DataFrame, node: str, sheet: str, tolerance: float, cell: float) -> DataFrame:
+    """(a, b), a < b, of the boxes (x0, y0, x1, y1) of one sheet that touch each other within the tolerance.
+
+    Boxes, wider by the tolerance at their far sides, meet in the cells of a
+    grid, and a pair is taken in the first cell that both cover, so that it
+    comes once. `cell` should be about the size of a box: a larger box has a
+    row in every cell it covers, and boxes of one cell are compared in pairs.
+    """
+    at = lambda c, more=0.0: F.floor((F.col(c) + more) / cell)
+    wide = boxes.select(F.col(node).alias("n"), F.col(sheet).alias("sheet"), "x0", "y0", "x1", "y1", at("x0").alias("i0"), at("y0").alias("j0"), at("x1", tolerance).alias("i1"), at("y1", tolerance).alias("j1"))
+    cells = wide.withColumn("i", F.explode(F.sequence("i0", "i1"))).withColumn("j", F.explode(F.sequence("j0", "j1"))).drop("i1", "j1")
+    a, b = cells.alias("a"), cells.alias("b")
+    met = a.join(b, F.expr("a.sheet = b.sheet and a.i = b.i and a.j = b.j and a.n < b.n"))
+    first = met.where("a.i = greatest(a.i0, b.i0) and a.j = greatest(a.j0, b.j0)")
+    t = float(tolerance)
+    return first.where(f"a.x0 <= b.x1 + {t}D and b.x0 <= a.x1 + {t}D and a.y0 <= b.y1 + {t}D and b.y0 <= a.y1 + {t}D").select(F.col("a.n").alias("a"), F.col("b.n").alias("b"))
+
+
 #: Which states of a document may follow which.
 LIFECYCLE = {"WIP": ["WIP", "Shared", "Archived"], "Shared": ["Shared", "WIP", "Published", "Archived"], "Published": ["Published", "WIP", "Archived"], "Archived": ["Archived"]}
 

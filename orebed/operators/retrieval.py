@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import name_key, simple_tokens, tokens
+from ..session import checkpointed
 
 
 def postings(docs: DataFrame, id_col: str, text: str, tokenise=tokens) -> DataFrame:
@@ -24,11 +25,12 @@ def document_frequencies(posts: DataFrame, id_col: str) -> DataFrame:
 def bm25(docs: DataFrame, id_col: str, text: str, query: Sequence[str], k1: float = 1.2, b: float = 0.75, tokenise=tokens) -> DataFrame:
     """(id, score) of the documents with any of the query's terms.
 
-    Only the query's terms become postings: texts are tokenised in one pass
-    that also gives lengths, and the statistics are sums over all documents.
+    Only the query's terms become postings: texts are tokenised once, in a pass
+    that also gives lengths. Its counts, a few numbers a document, are
+    checkpointed, so that statistics and scores read them instead of texts.
     """
     t = docs.select(F.col(id_col), tokenise(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
-    counted = t.select(id_col, "len", *[(F.size("_t") - F.size(F.array_remove("_t", q))).alias(f"tf{i}") for i, q in enumerate(query)])
+    counted = checkpointed(t.select(id_col, "len", *[(F.size("_t") - F.size(F.array_remove("_t", q))).alias(f"tf{i}") for i, q in enumerate(query)]))
     stats = counted.agg(F.count(F.lit(1)), F.avg("len"), *[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(query))]).head()  # one row
     n, mean = stats[0], float(stats[1] or 1)
     scored = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(query))))
@@ -46,7 +48,7 @@ def fielded_bm25(docs: DataFrame, id_col: str, fields: dict[str, float], query:
     """
     t = docs.select(id_col, *[tokenise(F.col(f)).alias(f) for f in fields])
     cells = [(f, i, q) for f in fields for i, q in enumerate(query)]
-    counted = t.select(id_col, *[F.size(f).alias(f"len_{f}") for f in fields], *[(F.size(f) - F.size(F.array_remove(f, q))).alias(f"tf_{f}_{i}") for f, i, q in cells])
+    counted = checkpointed(t.select(id_col, *[F.size(f).alias(f"len_{f}") for f in fields], *[(F.size(f) - F.size(F.array_remove(f, q))).alias(f"tf_{f}_{i}") for f, i, q in cells]))
     stats = counted.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"len_{f}").alias(f"mean_{f}") for f in fields], *[F.count_if(F.col(f"tf_{f}_{i}") > 0).alias(f"df_{f}_{i}") for f, i, _ in cells]).head()
     score = F.lit(0.0)
     for f, i, _ in cells:
@@ -198,6 +200,21 @@ def query_window(text: Column, terms: Sequence[str], width: int = 1600) -> Colum
     return F.substr(text, F.greatest(F.lit(1), first - width // 2), F.lit(width))
 
 
+def window_overlap(text: Column, terms: Sequence[str], width: int = 1600) -> Column:
+    """A score for reranking: the share of the query's terms that the part of the text around the first of them has."""
+    return token_overlap(F.array(*[F.lit(t) for t in terms]), simple_tokens(query_window(text, terms, width)))
+
+
+def card_score(phrase: str, fields: Sequence[tuple[Column, int]], whole: int = 12) -> Column:
+    """Weight of a table's card: `whole` where all fields together hold the phrase, and a field's own weight for each of the phrase's words in it."""
+    keys = [(F.coalesce(name_key(c), F.lit("")), weight) for c, weight in fields]
+    score = F.concat_ws(" ", *[k for k, _ in keys]).contains(phrase.lower()).cast("int") * whole
+    for term in phrase.lower().split():
+        for key, weight in keys:
+            score = score + F.concat(F.lit(" "), key, F.lit(" ")).contains(f" {term} ").cast("int") * weight
+    return score
+
+
 def valid_json(text: Column, schema: str) -> Column:
     """The JSON object in a text, under a schema; null where there is none or a field does not fit."""
     span = F.regexp_extract(text, r"(?s)(\{.*\})", 1)

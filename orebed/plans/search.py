@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, retrieval
-from ..session import table
-from . import texts  # noqa: F401  its queries are built upon
+from ..functions import text as T
+from ..operators import aggregate, graph, retrieval
+from ..schema import ENDINGS, STOP_WORDS
+from ..session import checkpointed, table
+from . import texts
 from .registry import ORACLE_SQL, query
 from .tables import parts_sold, price
 
@@ -73,3 +76,64 @@ def coverage_merge(spark, sf):
     longest = retrieval.ranked(d.orderBy(F.desc("n_chars"), "doc_id").limit(30), [F.desc("n_chars"), "doc_id"], "rank")
     shortest = retrieval.ranked(d.where("n_chars > 0").orderBy("n_chars", "doc_id").limit(30), ["n_chars", "doc_id"], "rank")
     return retrieval.round_robin([longest, shortest], "doc_id")
+
+
+RERANK = ", ".join(f"'{t}'" for t in texts.TERMS)
+
+
+@query(f"""WITH r AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) AS rank FROM documents),
+h AS (SELECT *, list_min(list_filter(list_transform([{RERANK}], lambda t: strpos(lower(text), t)), lambda p: p > 0)) AS spot FROM r WHERE rank <= 25),
+w AS (SELECT *, {texts.TOK.format("substr(text, greatest(1, coalesce(spot, 1) - 800)::BIGINT, 1600)")} AS near FROM h),
+s AS (SELECT *, len(list_filter([{RERANK}], lambda t: list_contains(near, t))) / 4.0 AS overlap FROM w)
+SELECT doc_id, source, rank, overlap::DOUBLE AS overlap, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN rank <= 20 THEN overlap END DESC NULLS LAST, rank) AS rerank_rank FROM s""")
+def window_rerank(spark, sf):
+    """TXT13: each source's best 25 of a ranking, the first 20 in the order of the terms around the first of them in the text."""
+    w = Window.partitionBy("source").orderBy(F.desc_nulls_last("n_chars"), "doc_id")
+    best = table(spark, sf, "documents").select("doc_id", "source", "n_chars", "text").withColumn("rank", F.row_number().over(w)).where("rank <= 25")
+    best = best.withColumn("overlap", retrieval.window_overlap(F.col("text"), texts.TERMS))
+    return retrieval.reranked(best, "source", "rank", 20, F.col("overlap")).select("doc_id", "source", "rank", "overlap", "rerank_rank")
+
+
+CARD = {"p_type": 20, "p_name": 4, "p_brand": 2, "p_size": 1}
+
+
+def _card_sql() -> str:
+    """Each word's weight for each field, and the weight of the phrase."""
+    key = lambda f: f"lower(trim(regexp_replace({f}::VARCHAR, '\\s+', ' ', 'g')))"
+    cells = [f"contains(' ' || {key(f)} || ' ', ' {t} ')::INT * {w}" for t in ("economy", "red", "ring") for f, w in CARD.items()]
+    phrase = f"contains(concat_ws(' ', {', '.join(key(f) for f in CARD)}), 'economy red ring')::INT * 12"
+    return f"SELECT p_partkey, score, row_number() OVER (ORDER BY score DESC, p_partkey) AS rank FROM (SELECT p_partkey, {' + '.join([phrase, *cells])} AS score FROM part) WHERE score > 0 ORDER BY rank LIMIT 50"
+
+
+@query(_card_sql())
+def card_search(spark, sf):
+    """TOP05: cards by the phrase and by each word's weight in each field, top k."""
+    score = retrieval.card_score("economy red ring", [(F.col(f).cast("string"), w) for f, w in CARD.items()])
+    order = [F.desc("score"), "p_partkey"]
+    return retrieval.ranked(table(spark, sf, "part").select("p_partkey", score.alias("score")).where("score > 0").orderBy(*order).limit(50), order, "rank")
+
+
+def _stem_sql() -> str:
+    """The ordered endings as one case over a token t."""
+    cut = " ".join(f"WHEN ends_with(t, '{e}') AND length(t) >= {len(e) + 4} THEN left(t, length(t) - {len(e)})" for e in ENDINGS)
+    return f"CASE WHEN length(t) < 4 OR NOT regexp_full_match(t, '[а-яё]+') THEN t {cut} ELSE t END"
+
+
+@query(f"""WITH k AS (SELECT doc_id, unnest({texts.TOK.format("text")}) AS t FROM documents), s AS (SELECT doc_id, {_stem_sql()} AS term FROM k WHERE t NOT IN ({", ".join(f"'{w}'" for w in sorted(STOP_WORDS))}))
+SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM s GROUP BY 1""")
+def stemmed_terms(spark, sf):
+    """PRJ14, PRJ23: search tokens without stop words and endings, with their frequencies."""
+    posts = retrieval.postings(table(spark, sf, "documents"), "doc_id", "text", T.tokens)
+    return retrieval.document_frequencies(posts, "doc_id").select("term", "cf", "df")
+
+
+@query("""WITH RECURSIVE b AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_orderkey AS sheet, date_diff('day', DATE '1992-01-01', min(l_shipdate)::DATE) AS x0, date_diff('day', DATE '1992-01-01', max(l_shipdate)::DATE) + max(l_quantity) AS x1, l_linenumber * 100 AS y FROM lineitem GROUP BY l_orderkey, l_linenumber),
+e AS (SELECT a.id AS a, c.id AS b FROM b a JOIN b c ON a.sheet = c.sheet AND a.x0 <= c.x1 + 100 AND c.x0 <= a.x1 + 100 AND abs(a.y - c.y) <= 100),
+r AS (SELECT id, id AS seen FROM b UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a) SELECT id AS node, min(seen) AS component FROM r GROUP BY 1""")
+def touching_boxes(spark, sf):
+    """GRF05: an order's lines as boxes of days and places; components of the boxes that touch within 100."""
+    day = lambda c: F.datediff(c, F.lit("1992-01-01").cast("date"))
+    b = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(day(F.min("l_shipdate")).cast("double").alias("x0"), (day(F.max("l_shipdate")) + F.max("l_quantity")).alias("x1"))
+    b = b.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("node"), F.col("l_orderkey").alias("sheet"), "x0", "x1", *[(F.col("l_linenumber") * 100.0).alias(y) for y in ("y0", "y1")])
+    parts = graph.components(graph.touching(b, "node", "sheet", 100, 200), "a", "b", checkpointed)
+    return b.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,24 @@ def test_empty_inputs(spark):
     assert join.plan_fact(none, none, "k", "q", "q").count() == 0
     assert sets.keyed_diff(none, none, "k", ["q"]).count() == 0
     assert retrieval.bm25(none, "k", "t", ["x"]).count() == 0
+
+
+def test_touching_boxes_against_all_pairs(spark):
+    rng = random.Random(5)
+    boxes = []
+    for n in range(120):
+        x, y = rng.uniform(-50, 50), rng.uniform(-50, 50)
+        boxes.append((n, n % 2, x, y, x + rng.choice([0.0, 3.0, 40.0]), y + rng.choice([0.0, 2.0, 25.0])))
+    boxes.append((120, 0, boxes[0][4] + 1.5, boxes[0][1 + 2], boxes[0][4] + 2.0, boxes[0][5]))  # at the tolerance exactly
+    df = spark.createDataFrame(boxes, "node long, sheet long, x0 double, y0 double, x1 double, y1 double")
+    got = sorted((r.a, r.b) for r in graph.touching(df, "node", "sheet", 1.5, 10.0).collect())
+    near = lambda a, b, lo, hi: a[lo] <= b[hi] + 1.5 and b[lo] <= a[hi] + 1.5
+    assert got == [(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] == b[1] and near(a, b, 2, 4) and near(a, b, 3, 5)]
+
+
+def test_window_overlap_and_card_score(spark):
+    text = "x " * 2000 + "Kabel und rotes Rohr " + "y " * 2000
+    df = spark.createDataFrame([(text, "Spec", "red ring"), (None, None, None), ("", "spec ring", "")], "t string, a string, b string")
+    got = df.select(retrieval.window_overlap(F.col("t"), ["kabel", "rohr", "zinc"]).alias("o"), retrieval.card_score("spec red ring", [(F.col("a"), 20), (F.col("b"), 4)]).alias("s")).collect()
+    assert got[0].o == pytest.approx(2 / 3) and got[2].o == 0
+    assert [r.s for r in got] == [12 + 20 + 4 + 4, 0, 40]
