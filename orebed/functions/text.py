@@ -42,14 +42,14 @@ def stem(word: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Search tokens: at least three characters, no stop words, tokens with digits as they are, others stemmed from four letters on."""
-    raw = F.transform(F.regexp_extract_all(folded(text), F.lit(r"[0-9a-zа-я.-]{2,}"), 0), lambda t: F.regexp_replace(t, r"^[.-]+|[.-]+$", ""))
+    raw = F.transform(F.regexp_extract_all(folded(text), F.lit(r"[0-9a-zа-я.-]{2,}"), 0), lambda t: F.btrim(t, F.lit(".-")))
     kept = F.filter(raw, lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS))
     return F.transform(kept, lambda t: F.when(t.rlike("[0-9]") | (F.length(t) < 4), t).otherwise(stem(t)))
 
 
 def simple_tokens(text: Column) -> Column:
     """tokens without stop words and stems."""
-    raw = F.transform(F.regexp_extract_all(folded(text), F.lit(r"[0-9a-zа-я.-]{2,}"), 0), lambda t: F.regexp_replace(t, r"^[.-]+|[.-]+$", ""))
+    raw = F.transform(F.regexp_extract_all(folded(text), F.lit(r"[0-9a-zа-я.-]{2,}"), 0), lambda t: F.btrim(t, F.lit(".-")))
     return F.filter(raw, lambda t: F.length(t) >= 3)
 
 

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key, simple_tokens, tokens
-from ..session import checkpointed
+from ..session import checkpointed, spread
 
 
 def postings(docs: DataFrame, id_col: str, text: str, tokenise=tokens) -> DataFrame:
     """(term, id, tf, len): term counts of each document, with its number of tokens."""
-    t = docs.select(F.col(id_col), tokenise(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
+    t = spread(docs.select(id_col, text)).select(F.col(id_col), tokenise(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
     return t.select(id_col, "len", F.explode("_t").alias("term")).groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 
@@ -29,7 +29,7 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: Sequence[str], k1: floa
     that also gives lengths. Its counts, a few numbers a document, are
     checkpointed, so that statistics and scores read them instead of texts.
     """
-    t = docs.select(F.col(id_col), tokenise(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
+    t = spread(docs.select(id_col, text)).select(F.col(id_col), tokenise(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
     counted = checkpointed(t.select(id_col, "len", *[(F.size("_t") - F.size(F.array_remove("_t", q))).alias(f"tf{i}") for i, q in enumerate(query)]))
     stats = counted.agg(F.count(F.lit(1)), F.avg("len"), *[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(query))]).head()  # one row
     n, mean = stats[0], float(stats[1] or 1)

@@ -43,3 +43,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the input has fewer partitions than there are cores; any larger input stays where it is.
+
+    For costly work on texts of a small table, whose file may be one row group.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
