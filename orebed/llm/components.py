@@ -20,10 +20,11 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number of edges, and sums of two hashes of each: what tells one set of edges from another."""
-    h1, h2 = F.xxhash64("u", "v"), F.xxhash64(F.lit(7), "v", "u")
-    return tuple(edges.agg(F.count(F.lit(1)), *[F.sum(h.cast("decimal(20,0)")) for h in (h1, h2)]).head())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: the least node of each component is then all that its others are linked to."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up + down > 1").isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -32,16 +33,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each round is two joins on nodes whose other side has one row a node, so a
     node with very many edges is only a skewed join. Rounds grow with the
     logarithm of the longest chain; each one is written to the shared folder.
-    They end when a round leaves the edges as they were, which is told by
-    their number and the sums of two 64-bit hashes.
+    They end when what is left are stars.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = stored(e, "edges")
-    before = _state(e)
-    while before[0]:
+    while not _are_stars(e):
         e = stored(_stars(_stars(e, True), False), "edges")
-        after = _state(e)
-        if after == before:
-            break
-        before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -232,7 +232,9 @@ def ngram_jaccard_join(
     pairs = split.withColumn("other", F.explode(others)).select(
         "component", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "text"
     )
-    compared = pairs.groupBy("component", "bi", "bj").applyInArrow(lambda t: _compare(t, n, threshold), "node string, other string, links bigint")
+    # Asked for by number, since AQE merges partitions by bytes and a few bytes of texts are much work here.
+    dealt = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "component", "bi", "bj")
+    compared = dealt.groupBy("component", "bi", "bj").applyInArrow(lambda t: _compare(t, n, threshold), "node string, other string, links bigint")
     compared = stored(compared, "links")
 
     among = split_close(close, members)
