@@ -13,8 +13,10 @@ from .line_dedup import dedup_lines
 from .media import media_features
 from .mixing import mix_plan
 from .ngram_join import ngram_jaccard_join
+from .packing import pack_documents
 from .passage_dedup import dedup_passages
 from .pii import replace_personal_data
+from .prefix_trie import conversation_trie
 from .sentencepiece_codec import encode_documents
 from .warc import archive_pages
 
@@ -69,7 +71,15 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_personal_data(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_entities", "entity_kinds", "entities")
 
 
-def op11_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_words", "removed_passages")
 
 
@@ -84,7 +94,9 @@ _ALL = (
     op8_exact_dedup,
     op9_sentencepiece,
     op10_pii_surrogates,
-    op11_passage_dedup,
+    op11_conversation_trie,
+    op12_packing,
+    passage_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -180,4 +192,32 @@ SELECT page_id, octet_length(encode(html)) AS payload_bytes,
 FROM bits
 """
 
-ORACLE_SQL = {"op6_warc": WARC_SQL, "op4_mix_sources": MIX_SQL, "op5_line_dedup": LINE_DEDUP_SQL, "op8_exact_dedup": EXACT_DEDUP_SQL}
+#: Nodes are told apart by their turns as JSON, and subtrees are summed up along the turns of their least member.
+TRIE_SQL = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS nth
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'r': r, 't': t} ORDER BY nth) AS l FROM turns GROUP BY conv_id),
+lent AS (
+  SELECT *, conv_id - conv_id % 100 AS base, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda s, x: list_reduce(list_prepend(xor(s, x), list_value(0, 0, 0, 0, 0, 0, 0, 0)::BIGINT[]), lambda u, z: xor(u >> 1, (u & 1) * 3988292384))), 4294967295::BIGINT) % 6 AS h
+  FROM own),
+built AS (SELECT c.conv_id, list_concat(coalesce(b.l[1:c.h], []), c.l[c.h + 1:]) AS l FROM lent c LEFT JOIN own b ON b.conv_id = c.base),
+prefixes AS (
+  SELECT conv_id, d, len(l) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE length(l[d].t) END AS chars, to_json(l[1:d])::VARCHAR AS k, CASE WHEN d > 0 THEN to_json(l[1:d - 1])::VARCHAR END AS up
+  FROM (SELECT conv_id, l, unnest(range(len(l) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT k, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY k),
+counted AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN (SELECT up, count(*) AS n FROM nodes GROUP BY up) c ON c.up = n.k),
+below AS (
+  SELECT p.k, sum((n.n_children = 0)::INT)::BIGINT AS n_leaves, sum(n.saved)::BIGINT AS saved_tokens
+  FROM counted n JOIN prefixes p ON p.conv_id = n.conv_id AND p.d <= n.depth GROUP BY p.k)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM counted n JOIN below b USING (k) LEFT JOIN nodes u ON u.k = n.up
+"""
+
+ORACLE_SQL = {"op11_conversation_trie": TRIE_SQL, "op6_warc": WARC_SQL, "op4_mix_sources": MIX_SQL, "op5_line_dedup": LINE_DEDUP_SQL, "op8_exact_dedup": EXACT_DEDUP_SQL}
