@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .divergence import source_divergence
 from .exact_dedup import exact_dedup
 from .langid import identify_languages, page_evidence, train_profiles
 from .licenses import scan_licenses
@@ -79,6 +80,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_passages(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_words", "removed_passages")
 
@@ -96,6 +101,7 @@ _ALL = (
     op10_pii_surrogates,
     op11_conversation_trie,
     op12_packing,
+    op13_source_divergence,
     passage_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -220,4 +226,32 @@ SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children,
 FROM counted n JOIN below b USING (k) LEFT JOIN nodes u ON u.k = n.up
 """
 
-ORACLE_SQL = {"op11_conversation_trie": TRIE_SQL, "op6_warc": WARC_SQL, "op4_mix_sources": MIX_SQL, "op5_line_dedup": LINE_DEDUP_SQL, "op8_exact_dedup": EXACT_DEDUP_SQL}
+#: Every kept term of every group is laid out, and pairs are priced term by term.
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+occ AS (
+  SELECT lang, source, t, count(*) AS c, count(DISTINCT id) AS d FROM (SELECT id, lang, source, unnest(ts) AS t FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, t, sum(c)::HUGEINT AS c FROM occ GROUP BY lang, t HAVING sum(d) >= 3),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS n FROM kept GROUP BY lang),
+counts AS (
+  SELECT g.lang, g.source, k.t, coalesce(o.c, 0)::HUGEINT AS c, k.c AS lc, l.v, l.n AS ln
+  FROM (SELECT DISTINCT lang, source FROM docs) g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN occ o ON o.lang = g.lang AND o.source = g.source AND o.t = k.t),
+shares AS (
+  SELECT lang, source, t, c, 1 + 1000000000 * (c + 1) // (sum(c) OVER (PARTITION BY lang, source)::HUGEINT + v) AS p, 1 + 1000000000 * (lc + 1) // (ln + v) AS q
+  FROM counts),
+priced AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN priced p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', t, (p - q) * (p - q) // q FROM shares WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE_SQL = {"op13_source_divergence": DIVERGENCE_SQL, "op11_conversation_trie": TRIE_SQL, "op6_warc": WARC_SQL, "op4_mix_sources": MIX_SQL, "op5_line_dedup": LINE_DEDUP_SQL, "op8_exact_dedup": EXACT_DEDUP_SQL}
