@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import bisect
+import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
+from difflib import SequenceMatcher
 from pathlib import Path
 
 import numpy as np
@@ -68,6 +71,14 @@ TEMPLATES: dict[str, list[str]] = {
 
 #: What a matched word is worth in an alignment, against 1 for a change.
 MATCH = 3
+#: The license of a long notice whose telling words are others.
+UNKNOWN = "unknown"
+#: Templates of fewer words are short forms: all that names a license in them must be there.
+SHORT = 20
+#: Words of short forms that name no license. Fixed values.
+GENERIC = {"a", "an", "and", "available", "distributed", "is", "licence", "license", "licensed", "of", "provided", "released", "terms", "the", "this", "under", "v", "version", "work", "0"}
+#: A license's name: the capitalised words right before "License".
+NAMED = re.compile(r"((?:[A-Z][\w.-]*\s+)+)Licen[sc]e\b")
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
@@ -109,11 +120,47 @@ def fingerprint_of(length: int, min_coverage: float) -> tuple[int, int]:
     return (3, 2) if run >= 4 else (min(run, 3), 1)
 
 
+def _at_least(n: int) -> int:
+    """How many of n telling words must match: all of a few, four in five of more."""
+    return n if n <= 5 else -(-4 * n // 5)
+
+
+def telling_words(name: str, text: str, templates: Mapping[str, list[str]], min_coverage: float = 0.8) -> tuple[list[tuple[list[int], int]], list[int]]:
+    """What in a template tells its license: groups (places of words, how many of them must match), and places whose next word must follow at once.
+
+    In a short form every word but the generic ones tells, its numbers all of
+    them. Elsewhere names before "License" tell, and where a template of
+    another license has so much in common that its text would be reported:
+    the words that it lacks or has others for, and places where it has more.
+    """
+    words, groups, joined = WORD.findall(text.lower()), [], set()
+    if len(words) < SHORT:
+        named = [i for i, w in enumerate(words) if w not in GENERIC]
+        groups += [[i for i in named if not words[i].isdigit()], [i for i in named if words[i].isdigit()]]
+        joined |= {i for i in named if i + 1 in named or words[i + 1 : i + 2] in (["license"], ["licence"])}
+        return [(g, _at_least(len(g))) for g in groups if g], sorted(joined)
+    starts = [m.start() for m in WORD.finditer(text)]
+    for m in NAMED.finditer(text) if len(starts) == len(words) else ():
+        run = [i for i in range(bisect.bisect_left(starts, m.start(1)), bisect.bisect_left(starts, m.end(1))) if words[i] not in GENERIC]
+        groups.append(run)
+        joined |= {i for i in run if i + 1 in run}
+    have = Counter(words)
+    for other, texts in templates.items():
+        for rival in [WORD.findall(t.lower()) for t in texts if other != name]:
+            if (have & Counter(rival)).total() < min_coverage * len(words):
+                continue
+            steps = SequenceMatcher(None, words, rival, autojunk=False).get_opcodes()
+            if sum(b - a for kind, a, b, _, _ in steps if kind == "equal") >= min_coverage * len(words):
+                groups.append([i for kind, a, b, _, _ in steps if kind in ("replace", "delete") for i in range(a, b)])
+                joined |= {a - 1 for kind, a, _, _, _ in steps if kind == "insert" and 0 < a < len(words)}
+    return [(g, _at_least(len(g))) for g in groups if g], sorted(joined)
+
+
 class TemplateIndex:
     """An inverted index from winnowed fingerprints to (template, place in it), one for each kind of fingerprint."""
 
     def __init__(self, templates: Mapping[str, list[str]], min_coverage: float = 0.8):
-        self.names, self.words, self.codes = [], [], []
+        self.names, self.words, self.codes, self.telling = [], [], [], []
         posts: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for name, texts in templates.items():
             for text in texts:
@@ -127,6 +174,7 @@ class TemplateIndex:
                 self.words.append(w)
                 values, code = np.unique(w, return_inverse=True)
                 self.codes.append((values, code, np.bincount(code)))
+                self.telling.append(telling_words(name, text, templates, min_coverage))
         self.kinds = {}
         for kind, rows in posts.items():
             rows.sort()
@@ -146,6 +194,11 @@ class TemplateIndex:
                 found.update((int(template[i]), p - int(place[i]), p) for i in range(a, b))
         return sorted(found)
 
+    def told(self, template: int, places: np.ndarray, same: np.ndarray) -> bool:
+        """Whether an alignment has the words that tell the template's license, without others between them."""
+        groups, joined = self.telling[template]
+        return all(same[g].sum() >= need for g, need in groups) and all(places[i] >= 0 and places[i + 1] == places[i] + 1 for i in joined)
+
     def coded(self, template: int, words: np.ndarray) -> np.ndarray:
         """The text's words as the template's codes, -1 for others."""
         values = self.codes[template][0]
@@ -153,8 +206,10 @@ class TemplateIndex:
         return np.where(values[at] == words, at, -1)
 
 
-def align(code: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[int, int, int, int] | None:
-    """(score, matched words, first, last + 1 in the text) of the best alignment within `band` words of the diagonal `shift`.
+def align(code: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[int, int, int, int, np.ndarray, np.ndarray] | None:
+    """(score, matched words, first, last + 1 in the text, places, same) of the best alignment within `band` words of the diagonal `shift`.
+
+    places are the text's words that stand for the template's, -1 for lost ones; same tells which of them match.
 
     Local in the text, with MATCH for a match and -1 for a change, a lack or
     an insertion, so that a matched word carries over some changed ones. Row i of the table is template word i; cell j of a row is text
@@ -181,6 +236,7 @@ def align(code: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[in
     if top <= 0:
         return None
     matched, first, last = 0, 0, int(lo + i - 1 + j) + 1
+    places, matches = np.full(m, -1), np.zeros(m, bool)
     while i > 0 and score[i, j + 1] > 0:
         s = score[i, j + 1]
         same = padded[i - 1 + j] == code[i - 1]
@@ -188,17 +244,18 @@ def align(code: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[in
             matched += int(same)
             first = int(lo + i - 1 + j)
             i -= 1
+            places[i], matches[i] = first, same
         elif j + 1 < width and s == score[i - 1, j + 2] - 1:
             i, j = i - 1, j + 1
         elif j > 0 and s == score[i, j] - 1:
             j -= 1
         else:
             break
-    return top, matched, first, last
+    return top, matched, first, last, places, matches
 
 
-def mentions(index: TemplateIndex, template: int, words: np.ndarray, places: list[tuple[int, int]], min_coverage: float, band: int) -> list[tuple[int, int, int, int]]:
-    """(score, matched, first, last + 1) of all mentions of one template, from its candidates (shift, place) in order.
+def mentions(index: TemplateIndex, template: int, words: np.ndarray, places: list[tuple[int, int]], min_coverage: float, band: int) -> list[tuple[int, int, int, int, bool]]:
+    """(score, matched, first, last + 1, told) of all mentions of one template, from its candidates (shift, place) in order; told: with the words that tell its license.
 
     Around each fingerprint the best alignment is taken, its words are
     masked, and the rest is aligned again until nothing is left that reaches
@@ -220,7 +277,7 @@ def mentions(index: TemplateIndex, template: int, words: np.ndarray, places: lis
             if got is None or got[1] < need:
                 tried.add(shift)
                 break
-            out.append(got)
+            out.append((*got[:4], index.told(template, got[4], got[5])))
             text[got[2] : got[3]] = -1
             tried.clear()
     return out
@@ -234,15 +291,16 @@ def find_licenses(text: str, index: TemplateIndex, min_coverage: float, band: in
         wanted.setdefault(template, []).append((shift, place))
     best = []
     for template, places in wanted.items():
-        for score, matched, first, last in mentions(index, template, words, places, min_coverage, band):
-            best.append((-score, -matched / len(index.words[template]), first, last, index.names[template], matched))
+        for score, matched, first, last, told in mentions(index, template, words, places, min_coverage, band):
+            if told or len(index.words[template]) >= SHORT:
+                best.append((not told, -score, -matched / len(index.words[template]), first, last, index.names[template] if told else UNKNOWN, matched))
     if not best:
         return []
     # lower() may change the number of characters: spans are taken from the text itself where it does not.
     spans = [m.span() for m in WORD.finditer(text.lower() if len(text.lower()) == len(text) else text)]
     out: list[tuple[str, float, int, int, int]] = []
     taken: list[tuple[int, int]] = []
-    for _, coverage, first, last, name, matched in sorted(best):
+    for _, _, coverage, first, last, name, matched in sorted(best):
         i = bisect.bisect_left(taken, (first, last))
         if (i and taken[i - 1][1] > first) or (i < len(taken) and taken[i][0] < last):
             continue
@@ -261,9 +319,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     coverage is the share of the template's words that the alignment matches;
     the span is in characters of the text, from the first matched word to the
-    last. All mentions count, however near to each other they stand. Of
-    overlapping ones the one with the highest alignment score (matches less
-    changes) counts, then the one with the highest coverage, the first, and
+    last. Words that tell a license from others must match and stand together:
+    a short form with another name, number or an addition to the name has no
+    row, and a whole notice with others is of license "unknown". All mentions count, however near to each other they stand. Of
+    overlapping ones a known one counts before an unknown one, then the one with the highest alignment score (matches less
+    changes), then the one with the highest coverage, the first, and
     the least name. A template that is changed within min_coverage shares a
     fingerprint with the text for certain unless words were put in between as
     well; insertions, losses and changes up to `band` words are bridged. Null
@@ -274,11 +334,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     not data, and do not grow with the input. Each text is scanned alone.
     """
     ship(docs.sparkSession)
-    templates = {name: list(texts) for name, texts in templates.items()}
+    index = TemplateIndex({name: list(texts) for name, texts in templates.items()}, min_coverage)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TemplateIndex(templates, min_coverage)
         kinds = [pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
         for batch in slices(batches):
             rows_of, found = [], []

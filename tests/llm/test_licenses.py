@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from orebed.llm.licenses import MATCH, TEMPLATES, TemplateIndex, align, find_licenses, fingerprint_of, grams, read_templates, scan_licenses, winnow
+from orebed.llm.licenses import MATCH, TEMPLATES, TemplateIndex, align, find_licenses, fingerprint_of, grams, read_templates, scan_licenses, telling_words, winnow
 from orebed.llm.shingles import WORD, word_hashes
 
 INDEX = TemplateIndex(TEMPLATES)
@@ -45,8 +45,9 @@ def test_alignment_bridges_edits():
     del words[30:32]
     w = word_hashes("before it " + " ".join(words) + " after it")
     codes = {h: i for i, h in enumerate(t.tolist())}
-    _, matched, first, last = align(np.arange(40), np.array([codes.get(h, -1) for h in w.tolist()]), 2, 16)
+    _, matched, first, last, places, same = align(np.arange(40), np.array([codes.get(h, -1) for h in w.tolist()]), 2, 16)
     assert matched == lcs(t.tolist(), w.tolist()) == 37 and (first, last) == (2, 2 + len(words))
+    assert places.tolist() == [*range(2, 14), *range(16, 32), -1, -1, *range(32, 42)] and same.sum() == 37 and not same[5]
 
 
 def test_every_template_is_found_in_a_text():
@@ -76,36 +77,70 @@ def test_mentions_at_any_distance(gap):
 
 
 def plain_best(code, text):
-    """The whole table of a local alignment, word by word: (score, matched, first, last + 1) of its best cell."""
-    best, rows = (0, 0, 0, 0), [(0, 0, 0)] * (len(text) + 1)
-    for c in code:
-        old, rows = rows, [(0, 0, 0)]
+    """The whole table of a local alignment, word by word: (score, matched, first, last + 1, {template word: (text word, same)}) of its best cell."""
+    best, rows = (0, 0, 0, 0, {}), [(0, 0, 0, ())] * (len(text) + 1)
+    for i, c in enumerate(code):
+        old, rows = rows, [(0, 0, 0, ())]
         for j, w in enumerate(text):
-            score, matched, first = old[j]
+            score, matched, first, way = old[j]
             same = w == c
-            options = [(score + (MATCH if same else -1), matched + same, first if score > 0 else j)]
-            options += [(s - 1, k, f) for s, k, f in (old[j + 1], rows[j])]
-            top = max(options)
-            rows.append(top if top[0] > 0 else (0, 0, 0))
+            options = [(score + (MATCH if same else -1), matched + same, first if score > 0 else j, ((way if score > 0 else ()), i, j, same))]
+            options += [(s - 1, k, f, x) for s, k, f, x in (old[j + 1], rows[j])]
+            top = max(options, key=lambda o: o[:3])
+            rows.append(top if top[0] > 0 else (0, 0, 0, ()))
             if top[0] > best[0]:
-                best = (top[0], top[1], top[2], j + 1)
-    return best
+                best = (top[0], top[1], top[2], j + 1, top[3])
+    places, way = {}, best[4]
+    while way:
+        way, i, j, same = way
+        places[i] = (j, same)
+    return *best[:4], places
+
+
+#: By hand: the words of each short form that tell its license, as runs without anything between them and the next word.
+TELLING = {
+    "licensed under the apache license version 2 0": ["apache license", "2"],
+    "released under the mit license": ["mit license"],
+    "licensed under the mit license": ["mit license"],
+    "this work is licensed under the gnu general public license version 3": ["gnu general public license", "3"],
+    "this work is licensed under the gnu lesser general public license version 3": ["gnu lesser general public license", "3"],
+    "this work is licensed under the gnu affero general public license version 3": ["gnu affero general public license", "3"],
+    "distributed under the boost software license version 1 0": ["boost software license", "1"],
+    "licensed under cc by 4 0": ["cc by 4"],
+    "licensed under cc by sa 4 0": ["cc by sa 4"],
+    "licensed under cc by nc 4 0": ["cc by nc 4"],
+    "this work is licensed under a creative commons attribution 4 0 international license": ["creative commons attribution 4", "international license"],
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": ["creative commons attribution sharealike 4", "international license"],
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": ["creative commons attribution noncommercial 4", "international license"],
+}
+#: By hand: in whole notices, the words that the relatives and other names would change.
+IN_NOTICES = {"GPL-3.0": ["gnu general public license", "version 3"], "GPL-2.0": ["gnu general public license", "version 2"], "LGPL-2.1": ["gnu lesser general public license", "version 2 1"], "LGPL-3.0": ["gnu lesser general public license", "version 3"], "AGPL-3.0": ["gnu affero general public license", "version 3"], "MPL-2.0": ["mozilla public"], "EPL-2.0": ["eclipse public"], "Apache-2.0": ["apache license"]}
+
+
+def plainly_told(name, text, span):
+    """Whether the words between two places have what must stand there, read off the span itself."""
+    key = " ".join(WORD.findall(text.lower()))
+    runs = TELLING.get(key, IN_NOTICES.get(name, []) if len(key.split()) >= 20 else [])
+    found = f" {' '.join(span)} "
+    return all(f" {r} " in found for r in runs)
 
 
 def plain_scan(text, min_coverage=0.8):
     """Every template aligned everywhere: found words are masked and the rest aligned again; overlaps go by score."""
-    words, best = word_hashes(text).tolist(), []
+    raw, words, best = WORD.findall(text.lower()), word_hashes(text).tolist(), []
     for name, texts in TEMPLATES.items():
         for t in texts:
             code, left = word_hashes(t).tolist(), list(words)
             while True:
-                score, matched, first, last = plain_best(code, left)
+                score, matched, first, last, _ = plain_best(code, left)
                 if matched < min_coverage * len(code) - 1e-9:
                     break
-                best.append((-score, -matched / len(code), first, last, name))
+                told = plainly_told(name, t, raw[first:last])
+                if told or len(code) >= 20:
+                    best.append((not told, -score, -matched / len(code), first, last, name if told else "unknown"))
                 left[first:last] = [None] * (last - first)
     out = []
-    for _, _, first, last, name in sorted(best):
+    for _, _, _, first, last, name in sorted(best):
         if all(last <= a or b <= first for a, b, _ in out):
             out.append((first, last, name))
     return sorted(out)
@@ -136,13 +171,17 @@ def test_against_full_alignment_of_every_template():
 
 
 def recall(share, rounds=20):
-    """Shares of changed notices that are reported at all, and under their own license."""
+    """Shares of changed notices that are reported at all, and under their own license; the words that tell the license stay."""
     draw, seen, right, total = random.Random(9), 0, 0, 0
     for name, texts in TEMPLATES.items():
         for t in texts:
             words = WORD.findall(t)
+            groups, joined = telling_words(name, t, TEMPLATES)
+            fixed = {i for g, _ in groups for i in g} | {i + d for i in joined for d in (0, 1)}
+            free = [i for i in range(len(words)) if i not in fixed]
             for _ in range(rounds):
-                hits = find_licenses(" ".join(["before", "it", *changed(draw, words, share), "after", "it"]), INDEX, 0.8, 16)
+                at = set(draw.sample(free, min(len(free), int(share * len(words)))))
+                hits = find_licenses(" ".join(["before", "it", *[f"other{i}" if i in at else w for i, w in enumerate(words)], "after", "it"]), INDEX, 0.8, 16)
                 seen += bool(hits)
                 right += any(h[0] == name for h in hits)
                 total += 1
@@ -151,9 +190,58 @@ def recall(share, rounds=20):
 
 @pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
 def test_recall_with_changed_words(share):
-    """Where the words that tell two licenses apart are changed, the other one may be named."""
     seen, right = recall(share)
-    assert seen >= 0.99 and right >= 0.94, (seen, right)
+    assert seen >= 0.99 and right >= 0.98, (seen, right)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Licensed under the BSD License.",
+        "Licensed under the Apache License.",
+        "Released under the Foo License.",
+        "licensed under the bar license",
+        "Distributed under the Eclipse Software License, Version 1.0.",
+        "Licensed under CC BY-ND 4.0.",
+        "Licensed under CC BY-NC-SA 4.0.",
+        "Licensed under CC BY 3.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This work is licensed under the Mozilla Public License, version 3.",
+        "Licensed under the Apache License, Version 1.0.",
+        "Licensed under the Foo License, Version 2.0.",
+        "Released under the MIT-0 License.",
+        "Distributed under the Boost Software License, Version 2.0.",
+    ],
+)
+def test_other_names_and_numbers_are_not_attributed(text):
+    assert find_licenses(f"Some words before. {text} And after it.", INDEX, 0.8, 16) == []
+
+
+def test_precision_on_names_outside_the_templates():
+    """Each short form with another name, number or an addition to the name: none is attributed. Whole notices with other names are unknown."""
+    draw, wrong, total = random.Random(3), 0, 0
+    for name, texts in TEMPLATES.items():
+        for t in texts:
+            words = WORD.findall(t)
+            groups, _ = telling_words(name, t, TEMPLATES)
+            for group, need in [g for g in groups if len(g[0]) <= 6]:  # names and numbers, no clauses
+                for _ in range(20):
+                    lost = set(draw.sample(group, len(group) - need + 1))
+                    hits = find_licenses(" ".join(f"own{draw.randint(0, 9)}" if i in lost else w for i, w in enumerate(words)), INDEX, 0.8, 16)
+                    wrong += any(h[0] == name for h in hits)
+                    total += 1
+    assert total > 400 and wrong == 0, (wrong, total)
+    gpl = TEMPLATES["GPL-3.0"][1]
+    assert [h[0] for h in find_licenses(gpl.replace("version 3", "version 7"), INDEX, 0.8, 16)] == ["unknown"]
+    assert [h[0] for h in find_licenses(gpl.replace("GNU General", "GNU Greater General"), INDEX, 0.8, 16)] == ["unknown"]
+    assert [h[0] for h in find_licenses(TEMPLATES["MPL-2.0"][0].replace("Mozilla", "Own"), INDEX, 0.8, 16)] == ["unknown"]
+
+
+def test_right_names_beside_other_ones():
+    text = "Licensed under the Foo License. Provided under the MIT License. Licensed under the terms of the MIT License."
+    assert [h[0] for h in find_licenses(text, INDEX, 0.8, 16)] == ["MIT", "MIT"]
 
 
 def test_fingerprints_meet_for_certain():
