@@ -53,6 +53,12 @@ def simple_tokens(text: Column) -> Column:
     return F.filter(raw, lambda t: F.length(t) >= 3)
 
 
+def question_terms(question: Column) -> Column:
+    """Distinct words of a question that a hit should have: four characters or more, no stop words."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(question, F.lit(""))), F.lit("[0-9a-zа-яё]{3,}"), 0)
+    return F.array_distinct(F.filter(words, lambda t: (F.length(t) >= 4) & ~t.isin(*STOP_WORDS)))
+
+
 def term_id(term: Column) -> Column:
     """A 31-bit id from the term's CRC-32."""
     return F.crc32(F.encode(term, "UTF-8")).bitwiseAND(F.lit(0x7FFFFFFF))

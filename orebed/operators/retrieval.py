@@ -12,10 +12,28 @@ from ..functions.text import name_key, simple_tokens, tokens
 from ..session import checkpointed, spread
 
 
+def term_counts(df: DataFrame, terms: str) -> DataFrame:
+    """df with its column of term arrays replaced by arrays of (term, tf), counted inside the row: sorted and cut where the term changes.
+
+    The sorted array and the places are columns of their own, as Catalyst
+    evaluates an expression in a lambda again for every element.
+    """
+    others = [c for c in df.columns if c != terms]
+    s = df.select(*others, F.sort_array(terms).alias("_s"))
+    cuts = s.withColumn("_p", F.filter(F.sequence(F.lit(1), F.greatest(F.size("_s"), F.lit(1))), lambda i: (i == 1) | (F.get("_s", i - 1) != F.get("_s", i - 2))))
+    counted = F.transform("_p", lambda p, j: F.struct(F.get("_s", p - 1).alias("term"), (F.coalesce(F.get("_p", j + 1), F.size("_s") + 1) - p).cast("long").alias("tf")))
+    return cuts.select(*others, F.when(F.size("_s") > 0, counted).alias(terms))
+
+
+def laid_out(df: DataFrame, counts: str) -> DataFrame:
+    """A row for each (term, tf). The outer form, as a filter that Spark infers for the inner one would be pushed below and count again."""
+    return df.select(*[c for c in df.columns if c != counts], F.inline_outer(counts)).where("term is not null")
+
+
 def postings(docs: DataFrame, id_col: str, text: str, tokenise=tokens) -> DataFrame:
-    """(term, id, tf, len): term counts of each document, with its number of tokens."""
+    """(term, id, tf, len): term counts of each document, with its number of tokens; counted inside the document's row, without a shuffle."""
     t = spread(docs.select(id_col, text)).select(F.col(id_col), tokenise(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
-    return t.select(id_col, "len", F.explode("_t").alias("term")).groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    return laid_out(term_counts(t, "_t"), "_t").select("term", id_col, "tf", "len")
 
 
 def document_frequencies(posts: DataFrame, id_col: str) -> DataFrame:
