@@ -265,13 +265,6 @@ def mail_threads(spark, sf):
     return c.select("conv_id", "last_turn", "n", F.array_join("r.role", ">").alias("roles"))
 
 
-@query("""WITH d AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS reach FROM documents) SELECT source, doc_id, CAST(reach AS BIGINT) AS reach FROM d WHERE reach <= 20000""")
-def context_packing(spark, sf):
-    """TOP09: what fits into a budget, in order."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return docs_of(spark, sf).select("source", "doc_id", F.sum("n_chars").over(w).alias("reach")).where("reach <= 20000")
-
-
 @query("""SELECT source, doc_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY hits DESC, doc_id) AS rn FROM (SELECT source, doc_id, (length(lower(text)) - length(replace(lower(text), 'thand', ''))) // 5 AS hits FROM documents)) WHERE rn = 1""")
 def evidence_boost(spark, sf):
     """TOP08, TOP12: the text of each source with the most matches."""

@@ -71,6 +71,12 @@ STOP_WORDS = [
     "допускается", "допускать", "почему", "зачем", "что", "кто", "как", "когда", "куда", "откуда", "нужно", "должно", "следует",
     "необходимо", "быть", "может", "можно", "ли", "или", "для", "при", "под", "над", "все", "всех", "всеми", "чем", "тем", "только",
 ]
+#: Words that say nothing about whether an answer stands on its context.
+VALIDATION_STOP_WORDS = [
+    "что", "это", "как", "так", "при", "для", "или", "над", "под", "если", "есть", "нужно", "нужен", "должна", "должен", "должно",
+    "должны", "может", "могут", "более", "менее", "также", "либо", "иные", "иной", "иная", "такой", "такая", "такие", "через",
+    "между", "после", "перед", "очень", "весь", "вся", "всех", "всем", "одного", "одной", "одним", "любом", "любой", "любых",
+]
 ENDINGS = [
     "иями", "ям", "ыми", "ейший", "ейшая", "ейшее", "ейшие", "ейших", "ого", "его", "ому", "ему", "ыми", "ими", "ых", "их", "ою", "ею",
     "ая", "яя", "ое", "ее", "ые", "ие", "ым", "им", "ом", "ем", "ах", "ях", "ов", "ев", "ей", "ам", "ям", "ит", "ет", "ут", "ют", "ат",
