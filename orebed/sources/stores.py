@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def promote(spark: SparkSession, root: str, version: str, expected: int) -> None:
     """Makes a version the current one, if it holds as many rows as expected.
@@ -60,3 +62,46 @@ def training_set(records: DataFrame, path: str, verdict: str) -> dict[str, int]:
     """Writes the verified records as JSON lines; returns how many records each verdict has, one row a verdict."""
     records.where(F.col(verdict) == "verified").drop(verdict).write.mode("overwrite").json(path)
     return {r[0]: r[1] for r in records.groupBy(verdict).count().collect()}
+
+
+
+def replace_files(points: DataFrame, files: DataFrame, root: str, buckets: int = 64) -> None:
+    """Puts the points of some files into a store: all former points of these files go, others stay.
+
+    points are rows (collection, file, ordinal, …); files (collection, file)
+    are those to replace, also such as have no points any more. The store lies
+    in folders by collection and bucket of the file, and only folders of the
+    given files are written, by dynamic partition overwrite: their other
+    files' points are read, written beside and moved in at the commit. A point's id
+    is a hash of its place, so the same call again changes nothing; of points
+    of one place, the one with the least contents stays. The points that stay
+    are checkpointed first, as a folder cannot be read while it is replaced.
+    """
+    spark = points.sparkSession
+    names = [c for c in points.columns if c not in ("collection", "file", "ordinal")]
+    place = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64("collection", "file"), F.lit(buckets)).cast("int"))
+    key = F.substring(F.sha2(F.concat_ws("\x1f", "collection", "file", F.col("ordinal").cast("string")), 256), 1, 32)
+    new = points.join(files.select("collection", "file").distinct(), ["collection", "file"], "left_semi")
+    new = place(new.groupBy("collection", "file", "ordinal").agg(F.min(F.struct(*names)).alias("_r")).select("collection", "file", "ordinal", "_r.*").withColumn("point_id", key))
+    touched = place(files.select("collection", "file").distinct())
+    columns = [c for c in new.columns if c not in ("collection", "bucket")] + ["collection", "bucket"]
+    rows = new.select(*columns)
+    path, fs = _paths(spark, root)
+    if fs.exists(path("")):
+        store = spark.read.schema(rows.schema).parquet(root)
+        folders = touched.select("collection", "bucket").distinct()
+        stay = checkpointed(store.join(folders, ["collection", "bucket"], "left_semi").join(touched.select("collection", "file"), ["collection", "file"], "left_anti").select(*columns))
+        rows = rows.unionByName(stay)
+        emptied = folders.join(rows.select("collection", "bucket").distinct(), ["collection", "bucket"], "left_anti")
+        gone = [(r[0], r[1]) for r in emptied.join(store.select("collection", "bucket").distinct(), ["collection", "bucket"]).collect()]  # at most a row a folder
+    else:
+        gone = []
+    rows.repartition("collection", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "bucket").parquet(root)
+    for collection, bucket in gone:  # a folder that is left without points is not written, so it is deleted
+        escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(collection)
+        fs.delete(path(f"collection={escaped}/bucket={bucket}"), True)
+
+
+def stored_points(spark: SparkSession, root: str) -> DataFrame:
+    """All points of a store."""
+    return spark.read.parquet(root)

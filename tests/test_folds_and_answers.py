@@ -116,7 +116,7 @@ def test_verdicts(spark):
 
 
 def test_claimed_numbers(spark):
-    cases = {"высота 3,5 м и 12 шт": ["3.5"], "1) пункт 7, 99 и 100": ["100"], "в 2023 году 5 кг": ["5"], "12.05.2021 табл. 4": [], "7 чел, 8 столов": ["7"], "1.000": ["1.000"], "": [], None: [], "рис 5-7 и 0250": ["0250"]}
+    cases = {"высота 3,5 м и 12 шт": ["3.5"], "1) пункт 7, 99 и 100": ["100"], "в 2023 году 5 кг": ["5"], "12.05.2021 табл. 4": [], "7 чел, 8 столов": [], "есть 7 чел, 8 столов": ["7"], "1.000": [], "вес 1.000": ["1.000"], "": [], None: [], "рис 5-7 и 0250": ["0250"]}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     for x in df.select("t", answers.claimed_numbers(F.col("t")).alias("n")).collect():
         assert sorted(x.n) == sorted(cases[x.t]), x
