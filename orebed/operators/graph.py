@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,39 @@ def allowed_transition(before, after):
     for state, following in LIFECYCLE.items():
         out = out | ((before == state) & after.isin(*following))
     return out
+
+
+def membership(docs: DataFrame, levels: list[tuple[str, str]], size: Column) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind, label, parent, children, size) and edges (source, target, kind, weight) of nested groups.
+
+    levels are (kind, column) from the outermost group to the document; a
+    node's id is its kind and the labels down to it, its size the sum over
+    what it holds, its children how many nodes stand directly below.
+    """
+    label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    nodes, edges = None, None
+    for i, (kind, column) in enumerate(levels):
+        ids = [F.concat_ws(":", F.lit(k), *[label(c) for _, c in levels[: j + 1]]) for j, (k, _) in enumerate(levels)]
+        parent = ids[i - 1] if i else F.lit(None).cast("string")
+        below = F.countDistinct(ids[i + 1]) if i + 1 < len(levels) else F.lit(0).cast("long")
+        part = docs.groupBy(ids[i].alias("id"), label(column).alias("label"), parent.alias("parent")).agg(below.alias("children"), F.sum(size).alias("size"))
+        part = part.select("id", F.lit(kind).alias("kind"), "label", "parent", "children", "size")
+        nodes = part if nodes is None else nodes.unionByName(part)
+        if i:
+            link = part.select(F.col("parent").alias("source"), F.col("id").alias("target"), F.lit("member").alias("kind"), F.lit(1).cast("long").alias("weight"))
+            edges = link if edges is None else edges.unionByName(link)
+    return nodes, edges
+
+
+def number_edges(mentioned: DataFrame, owners: DataFrame, per_number: int = 200, most: int = 4000) -> DataFrame:
+    """(source, target, kind, weight): documents that mention a number point to its owner; weight is how many numbers do.
+
+    mentioned are rows (number, source), owners (number, target), one a
+    number. The caps are the feature: of each number the first sources, and
+    of all edges the heaviest. Both are ranked in the tasks before they meet.
+    """
+    first = F.row_number().over(Window.partitionBy("number").orderBy("source"))
+    near = mentioned.select("number", "source").distinct().withColumn("nth", first).where(F.col("nth") <= per_number)
+    met = near.join(owners, "number").where("source <> target")
+    weighed = met.groupBy("source", "target").agg(F.lit("reference").alias("kind"), F.count(F.lit(1)).alias("weight"))
+    return weighed.orderBy(F.desc("weight"), "source", "target").limit(most)

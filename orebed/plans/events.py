@@ -121,12 +121,12 @@ def session_cache(spark, sf):
     return e.select("event_id", outcome.alias("outcome"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at, kind, event_id) AS i FROM (SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 ELSE 1 END AS kind, length(props)::VARCHAR AS req, event_id::VARCHAR AS resp, epoch_us(ts) AS at FROM events)),
-f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS req, NULL::VARCHAR AS st, NULL::VARCHAR AS resp, NULL::BIGINT AS at, NULL::VARCHAR AS outcome, NULL::VARCHAR AS replayed FROM e
+@query("""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tm, kind, event_id) AS i FROM (SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 ELSE 1 END AS kind, length(props)::VARCHAR AS req, event_id::VARCHAR AS resp, epoch_us(ts) AS tm FROM events)),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::VARCHAR AS req, NULL::VARCHAR AS st, NULL::VARCHAR AS resp, NULL::BIGINT AS tm, NULL::VARCHAR AS outcome, NULL::VARCHAR AS replayed FROM e
   UNION ALL SELECT user_id, i, event_id, CASE WHEN outcome IN ('started') THEN req WHEN outcome = 'released' OR NOT live THEN NULL ELSE oreq END, CASE outcome WHEN 'started' THEN 'in_progress' WHEN 'stored' THEN 'completed' ELSE ost END,
-    CASE outcome WHEN 'started' THEN NULL WHEN 'stored' THEN resp ELSE oresp END, CASE WHEN outcome IN ('started', 'stored') THEN at ELSE oat END, outcome, CASE WHEN outcome = 'completed' THEN oresp END FROM (
+    CASE outcome WHEN 'started' THEN NULL WHEN 'stored' THEN resp ELSE oresp END, CASE WHEN outcome IN ('started', 'stored') THEN tm ELSE oat END, outcome, CASE WHEN outcome = 'completed' THEN oresp END FROM (
     SELECT *, CASE WHEN kind = 1 AND NOT live THEN 'started' WHEN kind = 1 AND mine THEN ost WHEN kind = 1 THEN 'conflict' WHEN kind = 2 AND mine THEN 'stored' WHEN kind = 3 AND mine AND ost = 'in_progress' THEN 'released' ELSE 'lost' END AS outcome FROM (
-      SELECT e.*, f.req AS oreq, f.st AS ost, f.resp AS oresp, f.at AS oat, f.req IS NOT NULL AND f.at >= e.at - 7200000000 AS live, f.req IS NOT NULL AND f.at >= e.at - 7200000000 AND f.req = e.req AS mine FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)))
+      SELECT e.*, f.req AS oreq, f.st AS ost, f.resp AS oresp, f.tm AS oat, f.req IS NOT NULL AND f.tm >= e.tm - 7200000000 AS live, f.req IS NOT NULL AND f.tm >= e.tm - 7200000000 AND f.req = e.req AS mine FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)))
 SELECT event_id, outcome, replayed FROM f WHERE i > 0""")
 def request_log(spark, sf):
     """STR05: claims of a key with conflicts, replays and a time to live of two hours; a user is a key, purchases complete, errors release."""
