@@ -136,7 +136,7 @@ def identify_languages(
     known = names[:-1]
     model = spark.sparkContext.broadcast(profiles)
     declared = F.lower(F.regexp_extract(F.col(declared_col).cast("string"), r"^\s*([A-Za-z]+)", 1)) if declared_col else F.lit(None).cast("string")
-    keys = rows.select(*[F.col(f"`{c}`").alias(f"_of_{c}") for c in carry], F.nullif(declared, F.lit("")).alias("_declared"), (F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")).alias("_host"), text_of(text_col).alias("_text"))
+    keys = rows.select(*[F.col(f"`{c}`").alias(f"_of{i}") for i, c in enumerate(carry)], F.nullif(declared, F.lit("")).alias("_declared"), (F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")).alias("_host"), text_of(text_col).alias("_text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -194,7 +194,7 @@ def identify_languages(
     confidence = F.lit(1.0) / F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
     label = array_of(names)
     return fused.select(
-        *[F.col(f"`_of_{c}`").alias(c) for c in carry],
+        *[F.col(f"_of{i}").alias(c) for i, c in enumerate(carry)],
         at(label, F.col("_best") - 1).alias("lang_id"),
         F.round(confidence, 9).alias("confidence"),
         ((F.col("_best") == size) | (confidence < min_confidence)).alias("rejected"),

@@ -115,7 +115,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.filter(lines, lambda line, i: ~F.exists("_runs", lambda r: (i >= r["_from"]) & (i <= r["_to"])))
     removed = F.when(F.col("_runs").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
     return joined.select(
-        *[F.when(F.col("_runs").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[F.when(F.col("_runs").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
         removed.alias("removed_lines"),
         F.when(F.col("_runs").isNull(), 0).otherwise(F.size("_runs")).cast("long").alias("removed_runs"),
     )

@@ -67,8 +67,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key is the setting orebed.pii.key; the tables here are synthetic, so a public one stands in where it is unset."""
-    key = spark.conf.get("orebed.pii.key", "key of the synthetic tables")
+    """The key is the setting orebed.pii.key; only a local master may leave it unset, whose synthetic tables get a public one."""
+    key = spark.conf.get("orebed.pii.key", None)
+    if not key:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("orebed.pii.key is unset: a cluster needs a secret key")
+        key = "key of the synthetic tables"
     return replace_personal_data(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_entities", "entity_kinds", "entities")
 
 

@@ -90,3 +90,10 @@ def test_scratch_is_cleared(spark):
     with pytest.raises(Exception, match="(?i)not exist|no such|FileNotFound"):
         spark.catalog.clearCache()
         kept.agg(F.sum("k")).collect()
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "1 as `a.b`", "'x' as `Path Ü`")
+    for name, stage in pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert "a.b" in out.columns and out.count() > 0, name
