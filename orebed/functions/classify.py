@@ -123,9 +123,7 @@ def period(text: Column) -> tuple[Column, Column]:
     low = F.lower(text)
     month = F.regexp_extract(low, r"(январ|феврал|март|апрел|ма[йяе]|июн|июл|август|сентябр|октябр|ноябр|декабр)\p{L}*\s+([0-9]{4})", 1)
     year = F.regexp_extract(low, r"(?:январ|феврал|март|апрел|ма[йяе]|июн|июл|август|сентябр|октябр|ноябр|декабр)\p{L}*\s+([0-9]{4})", 1)
-    number = F.lit(None).cast("int")
-    for i, m in enumerate(MONTHS):
-        number = F.when(number.isNull() & month.startswith(m) & ((m != "ма") | ~month.startswith("март")), F.lit(i + 1)).otherwise(number)
+    number = F.coalesce(*[F.when(month.startswith(m) & ((m != "ма") | ~month.startswith("март")), F.lit(i + 1)) for i, m in enumerate(MONTHS)])
     first = F.make_date(F.nullif(year, F.lit("")).cast("int"), number, F.lit(1))
     day = lambda pattern: F.to_date(F.nullif(F.regexp_extract(low, pattern + r"\s*([0-9]{2}\.[0-9]{2}\.[0-9]{4})", 1), F.lit("")), "dd.MM.yyyy")
     return F.coalesce(day(r"\bс"), first), F.coalesce(day(r"\bпо"), F.last_day(first))

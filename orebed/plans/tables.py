@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, numbers, units
 from ..functions.text import name_key
-from ..operators import aggregate, cost, evaluate, graph, join, sets, window
+from ..operators import aggregate, cost, evaluate, graph, join, rules, sets, window
 from ..session import table
 from .registry import query
 
@@ -227,19 +227,19 @@ def price_lookup_first_wins(spark, sf):
 
 @query("""SELECT p_partkey, coalesce(CASE WHEN p_size = 1 THEN 1.0 END, CASE WHEN p_size < 20 THEN p_retailprice END, q.m) AS price,
 CASE WHEN p_size = 1 THEN 'manual' WHEN p_size < 20 THEN 'book' WHEN q.m IS NOT NULL THEN 'quote' ELSE 'missing' END AS price_source
-FROM part LEFT JOIN (SELECT l_partkey, min(l_extendedprice) AS m FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) q ON l_partkey = p_partkey""")
+FROM part LEFT JOIN (SELECT l_partkey, min(l_extendedprice) AS m FROM lineitem GROUP BY 1) q ON l_partkey = p_partkey""")
 def price_resolution(spark, sf):
     """JOI05: manual price, then price book, then quote, else missing."""
-    quotes = table(spark, sf, "lineitem").where("l_linenumber = 1").groupBy("l_partkey").agg(F.min("l_extendedprice").alias("quote"))
+    quotes = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.min("l_extendedprice").alias("quote"))
     p = table(spark, sf, "part").join(quotes, F.col("p_partkey") == F.col("l_partkey"), "left")
     value, source = join.prioritised([("manual", F.when(F.col("p_size") == 1, F.lit(1.0))), ("book", F.when(F.col("p_size") < 20, F.col("p_retailprice"))), ("quote", F.col("quote"))])
     return p.select("p_partkey", value.alias("price"), source.alias("price_source"))
 
 
-@query("""SELECT o_orderkey, l_partkey, CAST(round(l_quantity::DECIMAL(18,6) * p_size::DECIMAL(18,6), 6) AS DOUBLE) AS resource_qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderstatus = 'F'""")
+@query("""SELECT o_orderkey, l_partkey, CAST(round(l_quantity::DECIMAL(18,6) * p_size::DECIMAL(18,6), 6) AS DOUBLE) AS resource_qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey""")
 def norm_expansion(spark, sf):
     """JOI06: positions become their norm's resources."""
-    o = table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    o = table(spark, sf, "orders").select("o_orderkey")
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(table(spark, sf, "part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     return join.expand(o, lines, "o_orderkey", "l_orderkey", F.col("l_quantity"), F.col("p_size")).select("o_orderkey", "l_partkey", d(F.col("resource_qty")).alias("resource_qty"))
 
@@ -296,10 +296,10 @@ def duplicate_keys(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("""SELECT s_suppkey, coalesce(x.n, 0) AS n_lines, x.n IS NOT NULL AS matched, coalesce(x.q, 0)::DOUBLE AS qty FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n, sum(l_quantity::DECIMAL(18,2)) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) x ON l_suppkey = s_suppkey""")
+@query("""SELECT s_suppkey, coalesce(x.n, 0) AS n_lines, x.n IS NOT NULL AS matched, coalesce(x.q, 0)::DOUBLE AS qty FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n, sum(l_quantity::DECIMAL(18,2)) AS q FROM lineitem GROUP BY 1) x ON l_suppkey = s_suppkey""")
 def load_cable_match(spark, sf):
     """JOI11: left lookup of sums, with a flag."""
-    x = table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum(price("l_quantity")).alias("q"))
+    x = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum(price("l_quantity")).alias("q"))
     j = table(spark, sf, "supplier").join(x, F.col("s_suppkey") == F.col("l_suppkey"), "left")
     return j.select("s_suppkey", F.coalesce("n", F.lit(0)).alias("n_lines"), F.col("n").isNotNull().alias("matched"), d(F.coalesce("q", F.lit(0))).alias("qty"))
 
@@ -445,13 +445,14 @@ def binding_quality(spark, sf):
     return evaluate.binding_quality(o, lines, "k")
 
 
-@query("""SELECT p_partkey, score, rn AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, p_name, p_partkey) AS rn FROM (SELECT p_partkey, p_name, (p_name = 'red ring')::INT * 8 + contains(p_name, 'red')::INT * 4 + contains(p_name, 'ring')::INT * 2 + (p_type = 'ECONOMY')::INT AS score FROM part) WHERE score > 0) WHERE rn <= 50""")
+@query("""WITH s AS (SELECT p_partkey, p_name, lower(p_brand || ' ' || p_name) AS hay, regexp_matches(p_brand, '^Brand#[12]')::INT AS resource_code, p_type = 'PROMO' AS transport FROM part),
+k AS (SELECT *, (list_contains(string_split(hay, ' '), 'red')::INT + list_contains(string_split(hay, ' '), 'ring')::INT) AS n_tokens, contains(hay, 'red ring')::INT AS phrase_match FROM s)
+SELECT p_partkey, resource_code, phrase_match, (n_tokens = 2)::INT AS all_tokens, n_tokens FROM k WHERE n_tokens + phrase_match > 0 AND NOT transport ORDER BY resource_code DESC, phrase_match DESC, all_tokens DESC, n_tokens DESC, p_name, p_partkey LIMIT 50""")
 def price_browse(spark, sf):
-    """TOP02, TOP04, TOP05: a weighted score over fields, top k."""
-    has = lambda w: F.col("p_name").contains(w).cast("int")
-    score = (F.col("p_name") == "red ring").cast("int") * 8 + has("red") * 4 + has("ring") * 2 + (F.col("p_type") == "ECONOMY").cast("int")
-    best = table(spark, sf, "part").select("p_partkey", "p_name", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "p_name", "p_partkey").limit(50)
-    return best.select("p_partkey", "score", F.row_number().over(window.Window.orderBy(F.desc("score"), "p_name", "p_partkey")).alias("rank"))
+    """TOP02: the first prices for a phrase by five signs; transport left out, top k as the feature."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    rows = p.withColumn("code", F.concat(F.lpad(F.col("p_partkey").cast("string"), 12, "0"), F.lit(" "), "p_brand"))
+    return rules.price_browse(rows, "code", "p_name", "red ring", F.col("p_brand").rlike("^Brand#[12]"), F.col("p_type") == "PROMO", 50).select("p_partkey", "resource_code", "phrase_match", "all_tokens", "n_tokens")
 
 
 @query("""SELECT * FROM (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn <= 3""")
