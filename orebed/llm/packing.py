@@ -14,21 +14,34 @@ from pyspark.sql import functions as F
 from .common import ship, slices, stored, text_of
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-#: Words, and parts of words, that a worker remembers; when there are more, it begins anew.
-REMEMBERED = 400_000
+#: Runs of characters, and words of other texts, that a worker remembers; when there are more, it begins anew.
+REMEMBERED_RUNS, REMEMBERED_WORDS = 800_000, 200_000
 
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[^A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Words that may be parted into runs of letters and of other characters: no apostrophe, nothing that composes, no special token.
-PARTED = re.compile("(?!.*<[|])[!-&(-~À-ÖØ-öø-ÿ]+")
+#: Of lower-case texts: runs of Latin letters, and what stands between them.
+RUNS = re.compile("[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
+#: Texts that may be parted so: no apostrophe, nothing that composes, no special token.
+PARTED = re.compile("(?!.*<[|])[\n -&(-~À-ÖØ-öø-ÿ]*", re.DOTALL)
+
+
+class Runs(dict):
+    """The ids of a run of characters, as bytes: letters go to the vocabulary's merges, everything else through the whole tokenizer."""
+
+    def __init__(self, words: WordTokens):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self[run] = self.words.merged(run) if run.isalpha() else self.words.whole(run)
+        return ids
 
 
 class WordTokens(dict):
     """The ids of a word of a text, as bytes, found by the tokenizer when the word is met first.
 
     The vocabulary has word ends and drops white space, so a text's ids are
-    those of what stands between its spaces and line ends. Runs of Latin
-    letters are lower-cased and given to the vocabulary's merges as they are;
-    whatever else a word may hold goes through the whole tokenizer.
+    those of what stands between its spaces and line ends. Texts of Latin
+    letters and ASCII marks are parted into runs of letters and of the rest,
+    where the tokenizer parts them too.
     """
 
     def __init__(self, path: str):
@@ -37,7 +50,7 @@ class WordTokens(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.parts: dict[str, bytes] = {}
+        self.runs = Runs(self)
         self.splits = all(self.whole(a) + self.whole(b) == self.whole(f"{a} {b}") == self.whole(f"{a}\n{b}") for a, b in (("a", "a"), ("Ab", ",b."), ("1x", "Üé")))
         letters = "".join(map(chr, (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100))))
         shown = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c) for c in letters} if self.splits else {}
@@ -50,24 +63,20 @@ class WordTokens(dict):
     def merged(self, letters: str) -> bytes:
         return np.array([t.id for t in self.tokenizer.model.tokenize(letters.translate(self.shown))], self.dtype).tobytes()
 
-    def part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            ids = self.parts[part] = self.merged(part) if part.isalpha() else self.whole(part)
-        return ids
-
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join(map(self.part, LETTERS.findall(word.lower()))) if self.simple and PARTED.fullmatch(word) else self.whole(word)
+        ids = self.whole(word)
         if len(word) <= 64:
             self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
+        if self.simple and PARTED.fullmatch(text):
+            if len(self.runs) >= REMEMBERED_RUNS:
+                self.runs.clear()
+            return b"".join(map(self.runs.__getitem__, RUNS.findall(text.lower())))
         if not self.splits:
             return self.whole(text)
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED_WORDS:
             self.clear()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
