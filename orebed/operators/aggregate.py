@@ -104,10 +104,15 @@ def quote_analysis(quotes: DataFrame, material: str, supplier: str, price: Colum
     if strategy not in ("min", "median"):
         raise ValueError(f"strategy {strategy!r}")
     rows = quotes.select(material_key(F.col(material)).alias("material"), F.col(supplier).alias("_s"), price.alias("_p")).where("material <> ''")
-    stats = rows.groupBy("material").agg(F.count("_p").alias("n_offers"), F.min("_p").alias("price_min"), F.max("_p").alias("price_max"), F.percentile("_p", 0.5).alias("price_median"))
-    near = F.abs(F.col("_p").cast("double") - F.col("price_median")) if strategy == "median" else F.lit(0.0)
-    chosen = rows.join(stats, "material").where("_p is not null").groupBy("material").agg(F.min_by(F.struct("_s", "_p"), F.struct(near, "_p", "_s")).alias("_best"))
-    return stats.join(chosen, "material", "left").select(
+    # One row a material, price and supplier: what a hot material costs grows with its prices, not with its offers.
+    rows = rows.groupBy("material", "_p", "_s").agg(F.count("_p").alias("_n"))
+    cheapest = F.min_by(F.when(F.col("_p").isNotNull(), F.struct("_s", "_p")), F.when(F.col("_p").isNotNull(), F.struct("_p", "_s")))
+    stats = rows.groupBy("material").agg(F.sum("_n").alias("n_offers"), F.min("_p").alias("price_min"), F.max("_p").alias("price_max"), F.percentile("_p", 0.5, F.greatest("_n", F.lit(1))).alias("price_median"), cheapest.alias("_best"))
+    if strategy == "median":
+        near = F.abs(F.col("_p").cast("double") - F.col("price_median"))
+        chosen = rows.join(stats.select("material", "price_median"), "material").where("_p is not null").groupBy("material").agg(F.min_by(F.struct("_s", "_p"), F.struct(near, "_p", "_s")).alias("_best"))
+        stats = stats.drop("_best").join(chosen, "material", "left")
+    return stats.select(
         "material", "n_offers", "price_min", "price_max", "price_median",
         F.col("_best._s").alias("chosen_supplier"), F.col("_best._p").alias("chosen_price"),
         F.round((F.col("price_max") - F.col("price_min")).cast("double") / F.nullif(F.col("price_min"), F.lit(0)).cast("double") * 100, 1).alias("spread_pct"),
@@ -118,7 +123,9 @@ def quote_analysis(quotes: DataFrame, material: str, supplier: str, price: Colum
 def section_totals(df: DataFrame, section: str, cost: Column) -> DataFrame:
     """Total and rows of each section, and its share of all."""
     t = df.groupBy(section).agg(F.sum(money(cost)).alias("total"), F.count(F.lit(1)).alias("n_rows"))
-    return t.withColumn("share_pct", F.round(F.col("total") / F.sum("total").over(Window.partitionBy()) * 100, 2))
+    whole = F.broadcast(df.agg(F.sum(money(cost)).alias("_whole")).withColumn("_one", F.lit(1)))  # one row
+    share = F.round(F.col("total").cast("double") / F.col("_whole").cast("double") * 100, 2)
+    return t.withColumn("_one", F.lit(1)).join(whole, "_one").select(section, "total", "n_rows", share.alias("share_pct"))
 
 
 def corpus_profile(df: DataFrame, by: str, text: str, short: int = 120) -> DataFrame:

@@ -70,7 +70,8 @@ arg_min(l_orderkey, l_orderkey * 100 + l_linenumber) AS first_source
 FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3""")
 def bor_consolidate(spark, sf):
     """AGG04: bill of quantities by section, name and unit."""
-    rows = parts_sold(spark, sf).select("l_returnflag", "l_linestatus", name_key(F.col("p_name")).alias("name_key"), "l_quantity", "l_orderkey", "l_linenumber")
+    names = table(spark, sf, "part").select("p_partkey", name_key(F.col("p_name")).alias("name_key"))  # once a part, not once a line
+    rows = table(spark, sf, "lineitem").join(names, F.col("l_partkey") == F.col("p_partkey")).select("l_returnflag", "l_linestatus", "name_key", "l_quantity", "l_orderkey", "l_linenumber")
     out = aggregate.consolidate(rows, [F.col("l_returnflag"), F.col("name_key"), F.col("l_linestatus")], ["l_returnflag", "name_key", "l_linestatus"], price("l_quantity"), F.col("l_orderkey"), [F.col("l_orderkey"), F.col("l_linenumber")])
     return doubles(out.withColumnsRenamed({"l_returnflag": "section", "l_linestatus": "unit"}), "qty")
 
@@ -147,9 +148,7 @@ def inventory_pivot(spark, sf):
 round(sum(l_extendedprice::DECIMAL(18,2))::DOUBLE / (SELECT sum(l_extendedprice::DECIMAL(18,2)) FROM lineitem)::DOUBLE * 100, 2) AS share_pct FROM lineitem GROUP BY 1""")
 def section_totals(spark, sf):
     """AGG13: estimate sections with their share of the whole."""
-    t = aggregate.section_totals(table(spark, sf, "lineitem"), "l_returnflag", F.col("l_extendedprice"))
-    total = d(F.sum(F.col("total")).over(window.Window.partitionBy()))
-    return t.select("l_returnflag", d(F.col("total")).alias("total"), "n_rows", F.round(d(F.col("total")) / total * 100, 2).alias("share_pct"))
+    return doubles(aggregate.section_totals(table(spark, sf, "lineitem"), "l_returnflag", F.col("l_extendedprice")), "total")
 
 
 @query("""SELECT CAST(o_orderpriority AS VARCHAR) AS o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1""")
