@@ -47,3 +47,31 @@ def option_range(options: DataFrame, work: str, amount: str) -> DataFrame:
     """
     each = options.groupBy(work).agg(F.min(amount).alias("lo"), F.max(amount).alias("hi"), F.count(F.lit(1)).alias("n"))
     return each.agg(F.sum("lo").alias("min_amount"), F.sum("hi").alias("max_amount"), F.count(F.lit(1)).alias("works"), F.sum("n").alias("options"))
+
+
+def machinists(resources: DataFrame, catalog: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (by, kind, code, quantity) with the anonymous machinists of a position replaced by those of its machines, and (by, status, source_hours, derived_hours) of each position.
+
+    resources are rows (by, kind, code, quantity), catalog rows (code,
+    crew_hours, driver_code), one a code. A position is reconciled only if
+    every machine has a crew and a driver, or neither, and the hours so
+    derived are the anonymous ones within 0.1% (0.0001 at least); else it is
+    unresolved and stays as it is. Without machines or anonymous machinists
+    it is not_applicable.
+    """
+    code, quantity = F.trim(F.coalesce("code", F.lit(""))), F.coalesce(F.col("quantity"), F.lit(0.0))
+    rows = resources.withColumns({"code": code, "quantity": quantity.cast("double")})
+    anonymous = (F.col("kind") == "machinist") & (F.col("code") == "")
+    crew, driver = F.coalesce("crew_hours", F.lit(0.0)), F.coalesce("driver_code", F.lit(""))
+    m = rows.where("kind = 'machine'").join(catalog.select("code", F.lit(1).alias("_known"), "crew_hours", "driver_code"), "code", "left")
+    lacking = F.col("_known").isNull() | ((crew > 0) != (driver != ""))
+    m = m.withColumns({"_lacking": lacking.cast("int"), "_hours": F.when(~lacking & (crew > 0), F.round(F.col("quantity") * crew, 6))})
+    machines = m.groupBy(by).agg(F.sum("_lacking").alias("_lacking"), F.round(F.coalesce(F.sum("_hours"), F.lit(0.0)), 6).alias("derived_hours"))
+    source = rows.where(anonymous).groupBy(by).agg(F.round(F.sum("quantity"), 6).alias("source_hours"))
+    fits = (F.col("_lacking") == 0) & (F.abs(F.col("source_hours") - F.col("derived_hours")) <= F.greatest(F.lit(0.0001), F.abs("source_hours") * 0.001))
+    status = F.when(F.col("_lacking").isNull() | F.col("source_hours").isNull(), "not_applicable").when(fits, "reconciled").otherwise("unresolved")
+    told = rows.select(by).distinct().join(machines, by, "left").join(source, by, "left").select(by, status.alias("status"), "source_hours", "derived_hours")
+    settled = told.where("status = 'reconciled'").select(by, F.lit(True).alias("_settled"))
+    kept = rows.join(settled, by, "left").where(F.col("_settled").isNull() | ~anonymous).select(by, "kind", "code", "quantity")
+    derived = m.where("_hours is not null").join(settled, by).select(by, F.lit("machinist").alias("kind"), F.col("driver_code").alias("code"), F.col("_hours").alias("quantity"))
+    return kept.unionByName(derived), told

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..functions.text import norm_references
-from ..operators import rules
+from ..operators import cost, documents, graph, rules
+from ..sources import files
 from ..session import table
 from .registry import query
 from .retrieve import QUESTIONS_SQL, STOPS, questions_of
@@ -141,3 +142,59 @@ def norm_bindings(spark, sf):
 def scrolled_page(spark, sf):
     """SRC23: the page after a key, a limit as the feature."""
     return rules.paged(table(spark, sf, "documents").select("source", "doc_id"), ["source", "doc_id"], ["src1", 100], 200)
+
+
+CREWS_SQL = "crews AS (SELECT DISTINCT p_brand AS code, CASE WHEN p_brand < 'Brand#4' THEN substr(p_brand, 7, 1)::DOUBLE / 4 ELSE 0 END AS crew, CASE WHEN p_brand < 'Brand#4' THEN 'D' || substr(p_brand, 7, 1) ELSE '' END AS driver FROM part WHERE p_brand < 'Brand#5'), m AS (SELECT l_orderkey AS k, p_brand, l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@query(f"""WITH {CREWS_SQL}, h AS (SELECT k, sum(round(q * crew, 6)) AS hours, count(*) FILTER (crews.code IS NULL) AS lacking FROM m LEFT JOIN crews ON p_brand = crews.code GROUP BY 1),
+s AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN round(coalesce(hours, 0), 6) WHEN 'O' THEN round(coalesce(hours, 0) + 1, 6) END AS source, round(hours, 6) AS derived, lacking FROM (SELECT o_orderkey, min(o_orderstatus) AS o_orderstatus FROM orders GROUP BY 1) JOIN h ON k = o_orderkey)
+SELECT k AS o_orderkey, CASE WHEN source IS NULL THEN 'not_applicable' WHEN lacking = 0 AND abs(source - coalesce(derived, 0)) <= greatest(0.0001, source * 0.001) THEN 'reconciled' ELSE 'unresolved' END AS status, source AS source_hours, coalesce(derived, 0) AS derived_hours FROM s""")
+def machinist_hours(spark, sf):
+    """JOI12: machinists of each order's machines in place of an anonymous sum, where all are known and the hours agree."""
+    p = table(spark, sf, "part")
+    digit = F.substring("p_brand", 7, 1)
+    low = F.col("p_brand") < "Brand#4"
+    catalog = p.where("p_brand < 'Brand#5'").select(F.col("p_brand").alias("code"), F.when(low, digit.cast("double") / 4).otherwise(0.0).alias("crew_hours"), F.when(low, F.concat(F.lit("D"), digit)).otherwise("").alias("driver_code")).distinct()
+    machines = table(spark, sf, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("o_orderkey"), F.lit("machine").alias("kind"), F.col("p_brand").alias("code"), F.col("l_quantity").alias("quantity"))
+    hours = machines.join(catalog, "code", "left").groupBy("o_orderkey").agg(F.sum(F.round(F.col("quantity") * F.col("crew_hours"), 6)).alias("h"))
+    o = table(spark, sf, "orders").groupBy("o_orderkey").agg(F.min("o_orderstatus").alias("s")).join(hours, "o_orderkey")
+    said = o.where("s in ('F', 'O')").select("o_orderkey", F.lit("machinist").alias("kind"), F.lit(None).cast("string").alias("code"), (F.coalesce("h", F.lit(0.0)) + F.when(F.col("s") == "O", 1.0).otherwise(0.0)).alias("quantity"))
+    return cost.machinists(machines.join(o.select("o_orderkey"), "o_orderkey", "left_semi").unionByName(said), catalog, "o_orderkey")[1]
+
+
+@query(r"""WITH f AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') || '/' || page_id AS path FROM pages), r AS (SELECT DISTINCT unnest([split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS root FROM f)
+SELECT page_id, arg_max(root, length(root)) AS root FROM f JOIN r ON starts_with(path, root || '/') GROUP BY 1""")
+def nested_roots(spark, sf):
+    """JOI19: the longest of nested roots above each path: hosts, and folders of hosts."""
+    path = F.concat(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", ""), F.lit("/"), F.col("page_id").cast("string"))
+    f = table(spark, sf, "pages").select("page_id", path.alias("path"))
+    parts = F.split("path", "/")
+    roots = f.select(F.explode(F.array(parts[0], F.concat(parts[0], F.lit("/"), parts[1]))).alias("r")).distinct()
+    return documents.longest_root(f, "path", roots, "r").select("page_id", "root")
+
+
+@query("""WITH a AS (SELECT o_custkey AS path, count(*) AS size, max(o_orderdate) AS mtime FROM orders WHERE o_orderdate < TIMESTAMP '2000-06-01' GROUP BY 1), b AS (SELECT o_custkey AS path, count(*) AS size, max(o_orderdate) AS mtime FROM orders WHERE o_orderstatus <> 'F' OR o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1)
+SELECT path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.size = b.size AND abs(epoch_ms(a.mtime) - epoch_ms(b.mtime)) < 1000 THEN 'unchanged' ELSE 'updated' END AS status FROM a FULL JOIN b USING (path)""")
+def file_changes(spark, sf):
+    """SRC19, STR04: what has changed between two snapshots of files, by size and time."""
+    o = table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    snapshot = lambda rows: rows.groupBy(F.col("o_custkey").alias("path")).agg(F.count(F.lit(1)).alias("size"), F.max("o_orderdate").alias("mtime"))
+    return files.changes(snapshot(o.where("o_orderdate < timestamp '2000-06-01'")), snapshot(o.where("o_orderstatus <> 'F' or o_orderdate >= timestamp '1996-01-01'")))
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE o_orderpriority WHEN '1-URGENT' THEN 'WIP' WHEN '2-HIGH' THEN 'Shared' WHEN '3-MEDIUM' THEN 'Published' ELSE 'Archived' END AS state FROM orders),
+l AS (SELECT *, lag(state) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM s)
+SELECT o_orderkey, before, state, before IS NULL OR before = state OR (before = 'WIP' AND state IN ('Shared', 'Archived')) OR (before = 'Shared' AND state <> 'Shared') OR (before = 'Published' AND state IN ('WIP', 'Archived')) AS allowed FROM l""")
+def lifecycle_steps(spark, sf):
+    """GRF08: whether each step between states is one that documents may take."""
+    state = F.when(F.col("o_orderpriority") == "1-URGENT", "WIP").when(F.col("o_orderpriority") == "2-HIGH", "Shared").when(F.col("o_orderpriority") == "3-MEDIUM", "Published").otherwise("Archived")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf, "orders").withColumn("state", state).withColumn("before", F.lag("state").over(w))
+    return o.select("o_orderkey", "before", "state", graph.allowed_transition(F.col("before"), F.col("state")).alias("allowed"))
+
+
+@query("""SELECT p_partkey, translate(lower(p_name), 'qwertyuiop[]asdfghjkl;''zxcvbnm,.`', 'йцукенгшщзхъфывапролджэячсмитьбюё') AS typed FROM part""")
+def switched_layouts(spark, sf):
+    """PRJ24: names typed in the other keyboard layout."""
+    return table(spark, sf, "part").select("p_partkey", classify.switched_layout(F.lower("p_name")).alias("typed"))

@@ -121,3 +121,19 @@ def test_membership_and_number_edges(spark):
 @pytest.mark.parametrize("limit", [1, 2])
 def test_pages_of_an_empty_table(spark, limit):
     assert rules.paged(spark.createDataFrame([], "a int"), ["a"], [5], limit).collect() == []
+
+
+def test_machinists(spark):
+    from orebed.operators import cost
+
+    catalog = spark.createDataFrame([("M1", 1.0, "D1"), ("M2", 0.5, "D2"), ("M3", 0.0, None), ("M4", 2.0, None)], "code string, crew_hours double, driver_code string")
+    rows = [
+        ("fits", "machine", "M1", 2.0), ("fits", "machine", "M2", 4.0), ("fits", "machine", "M3", 9.0), ("fits", "machinist", " ", 4.0), ("fits", "labour", "L", 1.0),
+        ("off", "machine", "M1", 2.0), ("off", "machinist", None, 2.1), ("half", "machine", "M4", 1.0), ("half", "machinist", "", 2.0),
+        ("unknown", "machine", None, 1.0), ("unknown", "machinist", "", 1.0), ("none", "machine", "M1", 1.0), ("named", "machinist", "D9", 1.0), ("named", "machine", "M1", None),
+    ]
+    out, told = cost.machinists(spark.createDataFrame(rows, "p string, kind string, code string, quantity double"), catalog, "p")
+    assert {r.p: r.status for r in told.collect()} == {"fits": "reconciled", "off": "unresolved", "half": "unresolved", "unknown": "unresolved", "none": "not_applicable", "named": "not_applicable"}
+    got = sorted(tuple(r) for r in out.where("p = 'fits'").collect())
+    assert got == [("fits", "labour", "L", 1.0), ("fits", "machine", "M1", 2.0), ("fits", "machine", "M2", 4.0), ("fits", "machine", "M3", 9.0), ("fits", "machinist", "D1", 2.0), ("fits", "machinist", "D2", 2.0)]
+    assert out.where("p <> 'fits'").count() == 9
