@@ -198,3 +198,14 @@ def lifecycle_steps(spark, sf):
 def switched_layouts(spark, sf):
     """PRJ24: names typed in the other keyboard layout."""
     return table(spark, sf, "part").select("p_partkey", classify.switched_layout(F.lower("p_name")).alias("typed"))
+
+
+@query("""WITH q AS (SELECT source, text, (len(regexp_extract_all(t, '(?i)<br\\s*/?>')) >= 2 OR length(t) - length(replace(t, '|', '')) >= 8)::INT AS b,
+(length(t) >= 120 AND CASE WHEN c + l > 0 THEN c / (c + l) ELSE 1 END < 0.15)::INT AS noise, (length(t) < 120)::INT AS s, ((text IS NOT NULL AND text <> '')::INT + (lang IS NOT NULL AND lang <> '')::INT + (n_chars IS NOT NULL)::INT) / 3 AS f, sha256(t) AS h FROM (
+  SELECT *, coalesce(text, '') AS t, length(regexp_replace(coalesce(text, ''), '[^а-яёА-ЯЁ]', '', 'g')) AS c, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS l FROM documents)),
+g AS (SELECT source, count(*) AS n, round(100 * avg(b::DOUBLE), 1) AS broken_tables_pct, round(100 * avg(noise::DOUBLE), 1) AS language_noise_pct, round(100 * avg(s::DOUBLE), 1) AS short_pct, round(100 * avg((f < 1)::INT::DOUBLE), 1) AS incomplete_pct, round(avg(f), 3) AS completeness FROM q GROUP BY 1),
+h AS (SELECT h, source, count(*) AS n, min(source) OVER (PARTITION BY h) AS first, count(*) OVER (PARTITION BY h) AS groups FROM q GROUP BY h, source)
+SELECT g.*, copies, shared_texts FROM g JOIN (SELECT source, CAST(sum(n - (source = first)::INT) AS BIGINT) AS copies, count(*) FILTER (groups > 1) AS shared_texts FROM h GROUP BY 1) USING (source)""")
+def ingestion_report(spark, sf):
+    """EVL11, TXT26: quality of the texts of each source, and copies."""
+    return rules.quality_report(table(spark, sf, "documents"), "source", "text", ["text", "lang", "n_chars"])

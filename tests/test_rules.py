@@ -137,3 +137,11 @@ def test_machinists(spark):
     got = sorted(tuple(r) for r in out.where("p = 'fits'").collect())
     assert got == [("fits", "labour", "L", 1.0), ("fits", "machine", "M1", 2.0), ("fits", "machine", "M2", 4.0), ("fits", "machine", "M3", 9.0), ("fits", "machinist", "D1", 2.0), ("fits", "machinist", "D2", 2.0)]
     assert out.where("p <> 'fits'").count() == 9
+
+
+def test_quality_report(spark):
+    cases = {"a<br>b<BR/>": (True, False, True), "|" * 8: (True, False, True), "word " * 30: (False, True, False), "слово " * 30: (False, False, False), "1" * 150: (False, False, False), None: (False, False, True)}
+    assert {k: tuple(v) for k, v in each(spark, cases, rules.chunk_quality).items()} == cases
+    df = spark.createDataFrame([("a", "x", 1), ("a", "x", None), ("b", "x", 1), ("b", None, 1)], "g string, t string, m int")
+    got = {r.g: (r.n, r.incomplete_pct, r.completeness, r.copies, r.shared_texts) for r in rules.quality_report(df, "g", "t", ["t", "m"]).collect()}
+    assert got == {"a": (2, 50.0, 0.75, 1, 1), "b": (2, 50.0, 0.75, 1, 1)}
