@@ -113,7 +113,9 @@ COS = """(SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], (SEL
 
 
 def query_vector(spark: SparkSession, sf: str) -> list[float]:
-    return table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").head()[0]
+    """The vector of row 0; without it, one that is near to nothing."""
+    row = table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").head()
+    return row[0] if row and row[0] else [0.0]
 
 
 @query(f"""SELECT vec_id, round(score, 6) AS score FROM {COS} WHERE label IS NOT NULL ORDER BY round(score, 6) DESC, vec_id LIMIT 20""")
