@@ -127,3 +127,10 @@ def test_unproven_numbers(spark):
     df = spark.createDataFrame(rows, "a string, c string, want array<string>")
     for x in df.select("want", answers.unproven_numbers(F.col("a"), F.col("c")).alias("n")).collect():
         assert x.n == x.want
+
+
+def test_boosted_hits_hold_only_beginnings(spark, sf):
+    from orebed.plans import retrieve
+
+    hits = retrieve.boosted_hits(spark, sf, 100)
+    assert "text" not in hits.columns and hits.selectExpr("max(length(begin.text)) = 100 and max(begin.chars) > 100").head()[0]
