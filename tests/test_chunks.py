@@ -63,3 +63,12 @@ def test_structure(spark):
     assert chunks.structured_chunks("y" * 100, 40, 10) == ["y" * 40, "y" * 40, "y" * 40]
     df = spark.createDataFrame([(1, text), (2, None), (3, " ")], "id int, text string")
     assert [(x.id, x.part) for x in chunks.split_by_structure(df, "id", "text", 75, 30).collect()] == [(1, 0), (1, 1)]
+
+
+def test_chunks_go_in_small_batches(spark):
+    from orebed.operators import chunks
+
+    df = spark.createDataFrame([(i, f"One sentence. Another {i}.") for i in range(300)], "id int, text string").coalesce(1)
+    out = chunks.split_by_structure(df, "id", "text", 15, 0)
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.where("part = 1").count() == 300
