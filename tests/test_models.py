@@ -76,3 +76,9 @@ def test_files_are_replaced_whole(spark, tmp_path):
     stores.replace_files(new.limit(0), every, root, 4)
     assert seen() == [r for r in want if r[0] == "a"]
     assert len({r.point_id for r in stores.stored_points(spark, root).collect()}) == len(seen())
+
+
+def test_levels_are_not_stored(spark):
+    df = spark.createDataFrame([("m", json.dumps(MODEL))], "k string, payload string")
+    for out in (models.leaves(df, "k", "payload"), *models.walk(df, "k", "payload")):
+        assert "ExistingRDD" not in out._jdf.queryExecution().optimizedPlan().toString() and "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()
