@@ -164,25 +164,28 @@ def paged(rows: DataFrame, order: Sequence[str], after: Sequence | None, size: i
 def chunk_quality(text: Column) -> Column:
     """(broken_table, language_noise, short) of a chunk: two break tags or eight pipes; 120 characters with under 15% Cyrillic letters; under 120 characters."""
     t = F.coalesce(text, F.lit(""))
-    cyrillic, latin = F.length(F.regexp_replace(t, "[^а-яёА-ЯЁ]", "")), F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
+    letters = F.struct(*[F.length(F.regexp_replace(t, f"[^{c}]++", "")).alias(n) for n, c in (("c", "а-яёА-ЯЁ"), ("l", "A-Za-z"))])
     tags = F.regexp_count(t, F.lit(r"(?i)<br\s*/?>"))
     pipes = F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))
-    share = F.when(cyrillic + latin > 0, cyrillic / (cyrillic + latin)).otherwise(1.0)
+    # A lambda's argument is worked out once, however often it is named.
+    share = F.get(F.transform(F.array(letters), lambda x: F.when(x["c"] + x["l"] > 0, x["c"] / (x["c"] + x["l"])).otherwise(1.0)), 0)
     return F.struct(((tags >= 2) | (pipes >= 8)).alias("broken_table"), ((F.length(t) >= 120) & (share < 0.15)).alias("language_noise"), (F.length(t) < 120).alias("short"))
 
 
 def quality_report(points: DataFrame, by: str, text: str, required: Sequence[str]) -> DataFrame:
     """A row a group: chunks, percentages of broken tables, language noise, short and incomplete ones, mean completeness, and copies of texts beyond the first within all groups.
 
-    The copies are counted by hash in one grouping over all rows; a text's
-    copy counts for the group whose row is not the first in the order of the
-    group's names.
+    Texts are read once: rows meet by hash and group, with their sums, and
+    what follows counts these. A text's copy counts for the group whose row is
+    not the first in the order of the group's names.
     """
     filled = sum((F.coalesce(F.col(c).cast("string"), F.lit("")) != "").cast("int") for c in required) / len(required)
     rows = points.select(F.col(by), chunk_quality(F.col(text)).alias("q"), filled.alias("_full"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_h"))
-    pct = lambda c: F.round(100 * F.avg(c.cast("double")), 1)
-    shares = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), pct(F.col("q.broken_table")).alias("broken_tables_pct"), pct(F.col("q.language_noise")).alias("language_noise_pct"), pct(F.col("q.short")).alias("short_pct"), pct(F.col("_full") < 1).alias("incomplete_pct"), F.round(F.avg("_full"), 3).alias("completeness"))
-    held = rows.groupBy("_h", by).agg(F.count(F.lit(1)).alias("_n"))
-    first = held.groupBy("_h").agg(F.min(by).alias("_first"), F.count(F.lit(1)).alias("_groups"))
-    copies = held.join(first, "_h").groupBy(by).agg(F.sum(F.col("_n") - (F.col(by) == F.col("_first")).cast("int")).alias("copies"), F.count_if(F.col("_groups") > 1).alias("shared_texts"))
-    return shares.join(copies, by, "left")
+    signs = {"broken_tables_pct": F.col("q.broken_table"), "language_noise_pct": F.col("q.language_noise"), "short_pct": F.col("q.short"), "incomplete_pct": F.col("_full") < 1}
+    held = rows.groupBy("_h", by).agg(F.count(F.lit(1)).alias("_n"), F.sum("_full").alias("_full"), *[F.count_if(c).alias(n) for n, c in signs.items()])
+    w = Window.partitionBy("_h")
+    held = held.withColumns({"_first": F.min(by).over(w), "_groups": F.count(by).over(w)})
+    pct = lambda c: F.round(100 * (F.sum(c) / F.sum("_n")), 1)
+    shares = [F.sum("_n").alias("n"), *[pct(n).alias(n) for n in signs], F.round(F.sum("_full") / F.sum("_n"), 3).alias("completeness")]
+    copies = [F.sum(F.col("_n") - (F.col(by) == F.col("_first")).cast("int")).alias("copies"), F.when(F.col(by).isNotNull(), F.count_if(F.col("_groups") > 1)).alias("shared_texts")]
+    return held.groupBy(by).agg(*shares, *copies)
