@@ -121,10 +121,10 @@ MONTHS = ["январ", "феврал", "март", "апрел", "ма", "ию
 def period(text: Column) -> tuple[Column, Column]:
     """First and last day of "март 2024", "с 01.02.2024 по 15.02.2024", "с …" or "по …"; null for an open end."""
     low = F.lower(text)
-    month = F.regexp_extract(low, r"(январ|феврал|март|апрел|ма[йяе]|июн|июл|август|сентябр|октябр|ноябр|декабр)\p{L}*\s+([0-9]{4})", 1)
-    year = F.regexp_extract(low, r"(?:январ|феврал|март|апрел|ма[йяе]|июн|июл|август|сентябр|октябр|ноябр|декабр)\p{L}*\s+([0-9]{4})", 1)
-    number = F.coalesce(*[F.when(month.startswith(m) & ((m != "ма") | ~month.startswith("март")), F.lit(i + 1)) for i, m in enumerate(MONTHS)])
-    first = F.make_date(F.nullif(year, F.lit("")).cast("int"), number, F.lit(1))
+    named = F.regexp_extract(low, r"(?:январ|феврал|март|апрел|ма[йяе]|июн|июл|август|сентябр|октябр|ноябр|декабр)\p{L}*\s+[0-9]{4}", 0)
+    number = lambda m: F.coalesce(*[F.when(m.startswith(x) & ((F.lit(x) != "ма") | ~m.startswith("март")), F.lit(i + 1)) for i, x in enumerate(MONTHS)])
+    # A lambda's argument is worked out once: the text is searched once for all months.
+    first = F.get(F.transform(F.array(named), lambda m: F.make_date(F.nullif(F.right(m, F.lit(4)), F.lit("")).cast("int"), number(m), F.lit(1))), 0)
     day = lambda pattern: F.to_date(F.nullif(F.regexp_extract(low, pattern + r"\s*([0-9]{2}\.[0-9]{2}\.[0-9]{4})", 1), F.lit("")), "dd.MM.yyyy")
     return F.coalesce(day(r"\bс"), first), F.coalesce(day(r"\bпо"), F.last_day(first))
 

@@ -145,3 +145,23 @@ def test_quality_report(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "x", None), ("b", "x", 1), ("b", None, 1)], "g string, t string, m int")
     got = {r.g: (r.n, r.incomplete_pct, r.completeness, r.copies, r.shared_texts) for r in rules.quality_report(df, "g", "t", ["t", "m"]).collect()}
     assert got == {"a": (2, 50.0, 0.75, 1, 1), "b": (2, 50.0, 0.75, 1, 1)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_period_searches_a_text_once_for_all_months(spark):
+    from orebed.functions import classify
+
+    df = spark.createDataFrame([("за март 2024 года",), ("май 2023",), ("мая 2022",), (None,), ("ничего",)], "t string")
+    both = df.repartition(2).select(*classify.period(df["t"]))
+    assert plan_of(both).count("regexp_extract") <= 10
+    assert sorted(str(r[0]) for r in both.collect()) == ["2022-05-01", "2023-05-01", "2024-03-01", "None", "None"]
+
+
+def test_quality_report_reads_texts_once(spark, sf):
+    from orebed.operators import rules
+
+    report = rules.quality_report(spark.read.parquet(f"{sf}/documents.parquet"), "source", "text", ["text", "lang"])
+    assert plan_of(report).count("parquet") == 1
