@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -61,8 +62,9 @@ class Codec:
 
     A character that is no piece becomes its UTF-8 bytes where the vocabulary
     has all bytes, else the unknown id. Since no piece has U+2581 or a line
-    break after another character, words are encoded one by one and
-    remembered.
+    break after another character, and none joins a letter with a character
+    that is none, words and what stands between them are encoded one by one
+    and remembered. Where pieces of a vocabulary do so, it is not cut there.
     """
 
     def __init__(self, vocabulary: Vocabulary, most_words: int = 200_000):
@@ -71,7 +73,7 @@ class Codec:
         self.single = set()
         for i, (piece, score) in enumerate(zip(v.pieces, v.scores, strict=True)):
             if i not in v.special and piece:
-                self.automaton.add_word(piece, (len(piece), i, score))
+                self.automaton.add_word(piece, (len(piece), i, score, {}))
                 if len(piece) == 1:
                     self.single.add(piece)
         self.automaton.make_automaton()
@@ -79,13 +81,27 @@ class Codec:
         self.unknown_score = min((s for i, s in enumerate(v.scores) if i not in v.special), default=0.0) - 10
         spaces = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in ordinary)
         lines = any("\n" in p and p.strip("\n") for p in ordinary)
-        self.chunk = re.compile("(?s).+" if spaces else f"{SPACE}*[^{SPACE}]+|{SPACE}+" if lines else f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
+        letter, other = self._classes(ordinary)
+        words = f"{SPACE}*[{letter}]+|{SPACE}*(?:(?![{SPACE}{{}}])[{other}])+|{SPACE}+"
+        self.chunk = re.compile("(?s).+" if spaces else words.format("") if lines else words.format("\n") + "|\n+")
         self.bytes_of = all(b >= 0 for b in v.byte_ids)
         self.byte_at = {i: b for b, i in enumerate(v.byte_ids) if i >= 0}
+        self.is_byte = np.isin(np.arange(len(v.pieces)), list(self.byte_at))
         self.text_of = ["" if i in v.special else p for i, p in enumerate(v.pieces)]
-        self.most_words, self.memo = most_words, {}
+        self.most_words, self.memo, self.older = most_words, {}, {}
         self.rank = {p: (v.scores[i], i) for i, p in enumerate(v.pieces) if i not in v.special and p}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.pairs = 0
+
+    @staticmethod
+    def _classes(pieces: list[str]) -> tuple[str, str]:
+        """Letters and the other characters, as insides of a class, such that no piece joins the two, but for U+2581 before a letter."""
+        joined = {x for p in pieces for x in zip(p, p[1:], strict=False) if x[0] != SPACE}
+        letters = {c for x in joined for c in x if re.match(r"[^\W\d_]", c)}
+        odd: set[str] = set()
+        while more := {c for x in joined if len(inside := letters.intersection(x) - odd) < len(set(x)) for c in inside}:
+            odd |= more
+        apart = "".join(map(re.escape, sorted(odd)))
+        return rf"^\W\d_{apart}", rf"\W\d_{apart}"
 
     def merged(self, text: str) -> list[int]:
         """What merging the best pair of neighbours again and again makes of a text of known characters, the leftmost of equal ones first."""
@@ -109,21 +125,24 @@ class Codec:
 
     def merge_path(self, chunk: str) -> list[int]:
         """The merges' result: at each position the one matching piece that fits the path to its start."""
-        n, stable, single = len(chunk), self.stable, self.single
-        if len(stable) > 2_000_000:
-            stable.clear()
+        n, known = len(chunk), self.single.issuperset(chunk)
+        if self.pairs > 2_000_000:
+            self.pairs = 0
+            for *_, fitting in self.automaton.values():
+                fitting.clear()
         via, step = [-1] * (n + 1), [0] * (n + 1)
-        for end, (length, piece, _) in self.automaton.iter(chunk):
+        for end, (length, piece, _, fitting) in self.automaton.iter(chunk):
             end += 1
             if step[end]:
                 continue
             start = end - length
-            if start and not step[start] and chunk[start - 1] in single:
+            if not known and start and not step[start] and chunk[start - 1] in self.single:
                 continue
-            pair = (via[start], piece)
-            good = stable.get(pair)
+            before = via[start]
+            good = fitting.get(before)
             if good is None:
-                good = stable[pair] = self.fits(*pair)
+                good = fitting[before] = self.fits(before, piece)
+                self.pairs += 1
             if good:
                 via[end], step[end] = piece, length
         out: list[int] = []
@@ -147,7 +166,7 @@ class Codec:
         low = float("-inf")
         best, step, via = [0.0] + [low] * n, [0] * (n + 1), [-1] * (n + 1)
         if all(c in self.single for c in chunk):
-            for end, (length, piece, score) in self.automaton.iter(chunk):
+            for end, (length, piece, score, _) in self.automaton.iter(chunk):
                 score += best[end + 1 - length]
                 if score > best[end + 1]:
                     best[end + 1], step[end + 1], via[end + 1] = score, length, piece
@@ -156,7 +175,7 @@ class Codec:
             ahead = next(found, None)
             for end in range(n):
                 while ahead is not None and ahead[0] == end:
-                    length, piece, score = ahead[1]
+                    length, piece, score, _ = ahead[1]
                     score += best[end + 1 - length]
                     if score > best[end + 1]:
                         best[end + 1], step[end + 1], via[end + 1] = score, length, piece
@@ -171,20 +190,23 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         chunks = self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
-        memo = self.memo
-        try:
-            return np.frombuffer(b"".join(map(memo.__getitem__, chunks)), np.int32)
-        except KeyError:
-            if len(memo) > self.most_words:
-                memo.clear()
-            long = {}
-            for c in set(chunks).difference(memo):
-                (memo if len(c) <= 48 else long)[c] = np.array(self.viterbi(c), np.int32).tobytes()
-            return np.frombuffer(b"".join(memo[c] if c in memo else long[c] for c in chunks), np.int32)
+        if len(self.memo) > self.most_words:  # words that come again are taken over from the older ones
+            self.memo, self.older = {}, self.memo
+        memo, long = self.memo, []
+        for c in set(chunks).difference(memo):
+            found = self.older.get(c)
+            memo[c] = array("i", self.viterbi(c)).tobytes() if found is None else found
+            if len(c) > 48:
+                long.append(c)
+        ids = np.frombuffer(b"".join(map(memo.__getitem__, chunks)), np.int32)
+        for c in long:
+            del memo[c]
+        return ids
 
     def decode(self, ids: np.ndarray) -> str:
+        has_bytes = self.is_byte[ids].any()
         ids = ids.tolist()
-        if self.byte_at.keys().isdisjoint(ids):
+        if not has_bytes:
             text = "".join(map(self.text_of.__getitem__, ids))
         else:
             at, texts = self.byte_at, self.text_of

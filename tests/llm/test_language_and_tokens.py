@@ -227,3 +227,24 @@ def test_a_long_word_takes_linear_time():
     text = "".join(draw.choice("abcdefghij0123456789") for _ in range(300_000))
     began = time.time()
     assert codec.decode(codec.encode(text)) == text and time.time() - began < 20
+
+
+def test_words_are_remembered_without_punctuation_and_beyond_a_full_memory():
+    codec, calls = Codec(Vocabulary.load(DEFAULT_MODEL), most_words=20), []
+    plain = codec.viterbi
+    codec.viterbi = lambda c: calls.append(c) or plain(c)
+    for i in range(60):
+        text = f"Straße, Straße. Straße!? {chr(97 + i % 26)}{chr(97 + i // 26)}x"
+        assert codec.decode(codec.encode(text)) == text and len(codec.memo) <= 40
+    assert calls.count(SPACE + "Straße") == 1 and calls.count(SPACE + "Straße,") == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab.²1 \n", max_size=12))
+def test_pieces_of_letters_and_punctuation_are_not_cut(text):
+    pieces = ["<unk>", "a", "b", ".", "²", "1", SPACE, "\n", "ab", "b.", "²a", "1.", ".1", SPACE + "a", SPACE + ".", "ab."]
+    v = Vocabulary(pieces, [0.0] + [-2.0] * 7 + [-2.5, -2.25, -3.0, -3.0, -3.5, -2.5, -2.5, -4.0], [-1] * 256, 0, {0})
+    c = Codec(v)
+    ids = c.encode(text)
+    assert c.decode(ids) == text
+    assert not text or abs(sum(v.scores[i] for i in ids.tolist()) - brute(v, SPACE + text.replace(" ", SPACE), c.unknown_score)) < 1e-9
