@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +35,8 @@ def components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFrame], Data
     shared storage), so that the plan does not grow. Labels only fall, so the
     rounds end; their number grows with the logarithm of the longest chain.
     """
-    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionAll(edges.select(F.col(b), F.col(a))).distinct())
+    ends = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    both = cut(edges.select(F.inline(F.array(ends(a, b), ends(b, a)))).distinct())
     label = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")))
     while True:
         near = both.join(label.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
@@ -45,16 +49,53 @@ def components(edges: DataFrame, a: str, b: str, cut: Callable[[DataFrame], Data
     return label.select(F.col("u").alias("node"), F.col("l").alias("component"))
 
 
-def touching(boxes: DataFrame, node: str, sheet: str, tolerance: float, cell: float) -> DataFrame:
+def contracted(edges: DataFrame, a: str, b: str, at_once: int = 200_000) -> DataFrame:
+    """(a, b) of other edges, not more, with the same components; nodes are longs without nulls, and edges of a node to itself are left out.
+
+    Each task turns some `at_once` of its edges at a time into stars around
+    the least nodes. Where edges of a component lie together, as those of a
+    sheet's boxes do, `components` then has hardly a chain left to follow.
+    """
+
+    def star(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, flat = np.unique(ends, return_inverse=True)
+        (u, v), root = flat.reshape(ends.shape), np.arange(len(ids))
+        while (root[u] != root[v]).any():
+            low = np.minimum(root[u], root[v])
+            for old in (root[u], root[v]):
+                np.minimum.at(root, old, low)
+            while (root != root[root]).any():
+                root = root[root]
+        leaf = root != np.arange(len(ids))
+        return ids[leaf], ids[root[leaf]]
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            held += [] if batch is None else [batch]
+            if held and (batch is None or sum(x.num_rows for x in held) >= at_once):
+                leaves, roots = star(np.stack([np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1)]))
+                held = []
+                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(roots, pa.int64())], ["a", "b"])
+
+    return edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).mapInArrow(stars, "a long, b long")
+
+
+def touching(boxes: DataFrame, node: str, sheet: str, tolerance: float, cell: float, few: int = 64) -> DataFrame:
     """(a, b), a < b, of the boxes (x0, y0, x1, y1) of one sheet that touch each other within the tolerance.
 
-    Boxes, wider by the tolerance at their far sides, meet in the cells of a
-    grid, and a pair is taken in the first cell that both cover, so that it
-    comes once. `cell` should be about the size of a box: a larger box has a
-    row in every cell it covers, and boxes of one cell are compared in pairs.
+    The boxes of a sheet that has at most `few` of them meet as they are. Those
+    of larger sheets, wider by the tolerance at their far sides, meet in the
+    cells of a grid, and a pair is taken in the first cell that both cover, so
+    that it comes once. `cell` should be about the size of a box: a larger box
+    has a row in every cell it covers, and boxes of one cell are compared in
+    pairs. A box with an unknown side touches none.
     """
-    at = lambda c, more=0.0: F.floor((F.col(c) + more) / cell)
-    wide = boxes.select(F.col(node).alias("n"), F.col(sheet).alias("sheet"), "x0", "y0", "x1", "y1", at("x0").alias("i0"), at("y0").alias("j0"), at("x1", tolerance).alias("i1"), at("y1", tolerance).alias("j1"))
+    known = ["n", "sheet", "x0", "y0", "x1", "y1"]
+    boxes = boxes.select(F.col(node).alias("n"), F.col(sheet).alias("sheet"), *known[2:]).where(" and ".join(f"{c} is not null" for c in known))
+    many = boxes.groupBy("sheet").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > few)
+    at = lambda c, more=0.0: F.when(F.col("many").isNull(), F.lit(0).cast("long")).otherwise(F.floor((F.col(c) + more) / cell))
+    wide = boxes.join(many, "sheet", "left").select(*known, at("x0").alias("i0"), at("y0").alias("j0"), at("x1", tolerance).alias("i1"), at("y1", tolerance).alias("j1"))
     cells = wide.withColumn("i", F.explode(F.sequence("i0", "i1"))).withColumn("j", F.explode(F.sequence("j0", "j1"))).drop("i1", "j1")
     a, b = cells.alias("a"), cells.alias("b")
     met = a.join(b, F.expr("a.sheet = b.sheet and a.i = b.i and a.j = b.j and a.n < b.n"))

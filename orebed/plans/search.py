@@ -135,5 +135,5 @@ def touching_boxes(spark, sf):
     day = lambda c: F.datediff(c, F.lit("1992-01-01").cast("date"))
     b = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(day(F.min("l_shipdate")).cast("double").alias("x0"), (day(F.max("l_shipdate")) + F.max("l_quantity")).alias("x1"))
     b = b.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("node"), F.col("l_orderkey").alias("sheet"), "x0", "x1", *[(F.col("l_linenumber") * 100.0).alias(y) for y in ("y0", "y1")])
-    parts = graph.components(graph.touching(b, "node", "sheet", 100, 200), "a", "b", checkpointed)
+    parts = graph.components(graph.contracted(graph.touching(b, "node", "sheet", 100, 200), "a", "b"), "a", "b", checkpointed)
     return b.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

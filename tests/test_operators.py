@@ -170,6 +170,37 @@ def test_touching_boxes_against_all_pairs(spark):
     assert got == [(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] == b[1] and near(a, b, 2, 4) and near(a, b, 3, 5)]
 
 
+def test_touching_boxes_of_small_and_large_sheets(spark):
+    rng = random.Random(8)
+    boxes = [(n, n % 7 % 4, x := rng.uniform(-90, 90), y := rng.uniform(-90, 90), x + rng.choice([0.0, 30.0, 90.0]), y + rng.choice([0.0, 20.0])) for n in range(150)]
+    boxes += [(150, 1, None, 0.0, 1.0, 1.0), (151, None, 0.0, 0.0, 1.0, 1.0), (152, None, 0.0, 0.0, 1.0, 1.0)]
+    columns = "node long, sheet long, x0 double, y0 double, x1 double, y1 double"
+    df = spark.createDataFrame(boxes, columns)
+    whole, mixed, cells = (sorted(map(tuple, graph.touching(df, "node", "sheet", 1.5, 10.0, few).collect())) for few in (200, 30, 0))
+    assert whole == mixed == cells and len(whole) > 100
+    wide = spark.createDataFrame([(1, 0, 0.0, 0.0, 5e9, 0.0), (2, 0, 4e9, 1.0, 4e9, 1.0), (3, 0, 4e9, 3.0, 6e9, 3.0)], columns)
+    assert [tuple(r) for r in graph.touching(wide, "node", "sheet", 1.0, 1.0).collect()] == [(1, 2)]  # a row in each cell would be billions
+
+
+def test_contracted_edges_keep_their_components(spark):
+    def least(edges):
+        root = {x: x for e in edges for x in e}
+        find = lambda x: x if root[x] == x else find(root[x])
+        for a, b in edges:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return {x: find(x) for x in root if find(x) != x}
+
+    rng = random.Random(2)
+    edges = [(k * 100 + i, k * 100 + i + 1) for k in range(5) for i in range(90)] + [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(250)] + [(7, 7), (3, 2), (2, 3)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "x long, y long")
+    parts = [(r.a, r.b) for r in graph.contracted(df.repartition(3), "x", "y", 7).collect()]
+    assert len(parts) < len(edges) and all(b < a for a, b in parts) and least(parts) == least(edges)
+    assert dict(map(tuple, graph.contracted(df.coalesce(1), "x", "y").collect())) == least(edges)
+    assert graph.contracted(df.where("false"), "x", "y").count() == 0
+
+
 def test_window_overlap_and_card_score(spark):
     text = "x " * 2000 + "Kabel und rotes Rohr " + "y " * 2000
     df = spark.createDataFrame([(text, "Spec", "red ring"), (None, None, None), ("", "spec ring", "")], "t string, a string, b string")
