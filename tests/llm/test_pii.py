@@ -1,6 +1,7 @@
 import re
 import time
 from collections import defaultdict
+from types import SimpleNamespace
 
 import pytest
 import regex
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orebed.llm import pii
 from orebed.llm.pii import PATTERNS, replace_personal_data, surrogates
+from orebed.llm.queries import pii_key
 
 DOCS = "doc_id long, text string, n_entities string, kind string"
 A = "Write to jo.smith7@mail.example.com or call +1 (310) 555-4510. Card 4111 1111 1111 1111, host 10.20.30.40, token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\""
@@ -175,6 +177,14 @@ def test_a_key_is_needed(spark):
         replace_personal_data(frame(spark, []), "")
 
 
+def test_a_cluster_without_a_key_draws_one():
+    """Each application has its own, no public one; a key that is set counts anywhere."""
+    at = lambda master, application, key=None: pii_key(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: key), sparkContext=SimpleNamespace(master=master, applicationId=application)))
+    drawn = at("spark://host:7077", "app-1")
+    assert re.fullmatch("[0-9a-f]{64}", drawn) and at("spark://host:7077", "app-1") == drawn != at("yarn", "app-2")
+    assert at("local[2]", "local-1") not in (drawn, at("local[2]", "local-1", "own")) and at("yarn", "app-1", "own") == "own"
+
+
 def test_odd_rows(spark):
     """Null ids and texts, repeated rows, the mark's own character, a long list of entities, clashing columns."""
     many = " ".join(f"10.0.{i // 250}.{i % 250}" for i in range(5000))
