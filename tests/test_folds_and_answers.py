@@ -53,6 +53,24 @@ def test_packing_against_a_loop(spark):
     assert [x.rank for x in fold.pack_context(oversized, ["q"], "rank", F.col("name"), F.col("text"), F.col("family"), 70).collect()] == [1, 3]
 
 
+def test_hits_within_reach_are_packed_alike(spark):
+    """What the extents of texts leave out is never packed; of long texts only the first is left, whatever the order of families."""
+    r = random.Random(4)
+    rows = []
+    for q in range(60):
+        for rank in range(1, r.choice([2, 8, 20])):
+            text = r.choice([None, "", "x" * r.randint(1, 400), "word " * r.randint(1, 60), "a<br>b **<br/>** c  d", "ä" * 90 + " " * 130 + "z" * 90, "y z" * 200])
+            rows.append((q, rank, r.choice(["a", None, "c" * 30]), text, r.choice(["f", "g", None])))
+    df = spark.createDataFrame(rows, "q int, rank int, name string, text string, family string")
+    c, found = F.col, lambda d: sorted(map(tuple, d.collect()))
+    for budget in (120, 300):
+        near = fold.within_reach(df.withColumn("e", fold.extent(c("text"), budget)).drop("text"), ["q"], "rank", c("name"), c("e"), c("family"), budget).join(df.select("q", "rank", "text"), ["q", "rank"])
+        got = fold.pack_beginnings(near.withColumn("b", fold.beginning(c("text"), budget)), ["q"], "rank", c("name"), c("b"), c("family"), budget, later=c("later"))
+        assert found(got) == found(fold.pack_context(df, ["q"], "rank", c("name"), c("text"), c("family"), budget))
+    long = df.limit(0).unionAll(spark.createDataFrame([(1, i, "n", "y" * 500, "f" if i < 9 else "g") for i in range(1, 10)], df.schema))
+    assert [x["rank"] for x in fold.within_reach(long.withColumn("e", fold.extent(c("text"), 200)), ["q"], "rank", c("name"), c("e"), c("family"), 200).collect()] == [1]
+
+
 def test_clusters_against_a_loop(spark):
     r = random.Random(5)
     rows = [(g, r.choice([None, float(r.randint(0, 40)), r.random() * 20, 1e6])) for g in "abc" for _ in range(120)]
